@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash
+from . import exact_dedup, packing, simhash
 
 _MODULES = {
+    "op1_pack": packing,
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
 }
