@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash
+from . import exact_dedup, packing, simhash, toxicity
 
 _MODULES = {
     "op1_pack": packing,
+    "op7_toxicity": toxicity,
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
 }
