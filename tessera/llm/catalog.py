@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, toxicity
+from . import exact_dedup, packing, simhash, toxicity, url_filter, warc
 
 _MODULES = {
     "op1_pack": packing,
+    "op4_url_filter": url_filter,
+    "op6_warc": warc,
     "op7_toxicity": toxicity,
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
