@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, simhash, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, packing, simhash, token_counts, toxicity, url_filter, warc
 
 _MODULES = {
     "op1_pack": packing,
+    "op2_token_counts": token_counts,
     "op4_url_filter": url_filter,
+    "op5_decontaminate": decontaminate,
     "op6_warc": warc,
     "op7_toxicity": toxicity,
     "op8_simhash": simhash,
