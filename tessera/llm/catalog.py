@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, simhash, token_counts, toxicity, url_filter, warc
+from . import decontaminate, exact_dedup, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 _MODULES = {
     "op1_pack": packing,
@@ -13,6 +13,7 @@ _MODULES = {
     "op7_toxicity": toxicity,
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
+    "op10_suffix_dedup": suffix_dedup,
 }
 
 
