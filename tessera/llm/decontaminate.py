@@ -104,6 +104,12 @@ class Finder:
         q = np.array(vectors, np.float32).reshape(len(owner), projection.shape[1])
         self.queries, self.owner = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-9), np.array(owner)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"projection": self.projection.astype(np.float16)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = state | {"projection": state["projection"].astype(np.float32)}
+
     def candidates(self, keys: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(row, item, first word) of passages close to an item."""
         if not len(keys) or not len(self.owner):
@@ -183,10 +189,11 @@ def _statistics(docs: DataFrame, bits: int, window: int, fit_passages: int) -> t
 def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     """A'(A basis) for the TF-IDF rows A, summed per block of terms on the executors."""
     size, k = basis.shape
+    small = basis.astype(np.float16)  # as sent to the tasks
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((size, k), np.float32)
-        weighted = idf[:, None].astype(np.float32) * basis
+        weighted = idf[:, None].astype(np.float32) * small.astype(np.float32)
         for b in batches:
             col = b.column(0).flatten()
             terms = np.asarray(col, dtype=np.int64)
@@ -220,7 +227,7 @@ def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
     return out
 
 
-def fit(docs: DataFrame, benchmark: list[tuple[int, str | None]], bits: int = 15, rank: int = 128, window: int = 48, fit_passages: int = 20_000, rounds: int = 2, cosine: float = 0.6, overlap: float = 0.8, loose: float = 0.6) -> Finder:
+def fit(docs: DataFrame, benchmark: list[tuple[int, str | None]], bits: int = 14, rank: int = 192, window: int = 48, fit_passages: int = 20_000, rounds: int = 1, cosine: float = 0.65, overlap: float = 0.8, loose: float = 0.6) -> Finder:
     """``docs``: columns id and t. ``benchmark``: a stated query set of (item id, text)."""
     spark, terms_of = docs.sparkSession, Terms(bits)
     items = [it for it in (Item(i, t or "") for i, t in benchmark) if it.size]
@@ -231,7 +238,7 @@ def fit(docs: DataFrame, benchmark: list[tuple[int, str | None]], bits: int = 15
     stacked = sample.withColumn("w", F.lit(1.0).cast("float"))
     if own:
         stacked = stacked.union(spark.createDataFrame([(t, weight) for t in own], "terms array<int>, w float"))
-    passages = materialise(stacked.repartition(4), "passages")
+    passages = materialise(stacked.repartition(2), "passages")
     basis = np.random.default_rng(17).standard_normal((1 << bits, rank + 8)).astype(np.float32)
     for _ in range(rounds):
         basis, _ = np.linalg.qr(_products(passages, idf, basis))
