@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from . import compact_windows, decontaminate, exact_dedup, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 _MODULES = {
     "op1_pack": packing,
     "op2_token_counts": token_counts,
+    "op3_compact_windows": compact_windows,
     "op4_url_filter": url_filter,
     "op5_decontaminate": decontaminate,
     "op6_warc": warc,
