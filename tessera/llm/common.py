@@ -88,3 +88,23 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+_BITS = 32768
+
+
+def maybe_in(rows: DataFrame, column: str, keys: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
+    """Adds ``_maybe``: false only where the bigint in ``column`` surely isn't among ``keys`` (same name).
+
+    The keys' low bits (they should be hashes) make a bitmap that is broadcast in blocks of 4 KiB.
+    Its size is bounded, so with too many keys more rows are true. Rows don't shuffle.
+    """
+    keys = materialise(keys.select(column).distinct(), "keys")
+    n, bits = keys.count(), _BITS
+    while bits < 32 * n and bits < 8 * max_bytes:
+        bits *= 2
+    place = F.col(column).bitwiseAND(F.lit(bits - 1))
+    maps = keys.select(place.alias("p")).groupBy(F.shiftrightunsigned("p", 15).alias("_at")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_BITS - 1))).alias("_map"))
+    j = rows.withColumn("_p", place).join(F.broadcast(maps), F.shiftrightunsigned("_p", 15) == F.col("_at"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast((_p & {_BITS - 1}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return j.withColumn("_maybe", F.coalesce(F.getbit(byte, F.expr("cast(_p % 8 as int)")) == 1, F.lit(False))).drop("_p", "_at", "_map")

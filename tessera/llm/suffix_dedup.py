@@ -7,8 +7,9 @@ Sparse suffixes. Of the 200-byte grams inside each 400-byte window the one with
 only suffixes at anchors need sorting, about one in a hundred bytes. Anchors whose gram occurs once
 can't be in a repeated window. Those are set aside by a bitmap of repeated gram hashes, made by a
 count over all anchors and broadcast; its size has a bound (``max_filter_bytes``), and what passes
-it by chance is only sorted in vain. An anchor's context is the 200 bytes before and 400 from it;
-equal contexts are merged and counted before anything is sorted.
+it by chance is only sorted in vain. An anchor's context is the 200 bytes before and 400 from it.
+Equal contexts are counted by digest before anything is sorted: they are repeated as a whole. What
+is sorted are the distinct contexts of grams that have several.
 
 Merge sort. Contexts are sorted twice, as suffixes (what follows the anchor, then what precedes it
 backwards) and as reversed prefixes. Each task sorts runs, cuts them at splitters from a bounded
@@ -37,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise
+from .common import lookup, materialise, maybe_in
 from .textnum import Prefix, byte_values, bytes_of, sliding_min, slices
 
 LENGTH, GRAM = 400, 200
@@ -72,8 +73,41 @@ def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(t).alias("th"), t.alias("t"))
 
 
-def _repeated_filter(docs: DataFrame, max_filter_bytes: int) -> tuple[np.ndarray, int]:
-    """A bitmap over gram hashes that occur at more than one anchor."""
+def _bitmap(hashes: DataFrame, max_filter_bytes: int) -> np.ndarray:
+    """A bitmap over the low bits of the column ``g`` (anchors have small hashes), of bounded size."""
+    n, bits = hashes.count(), BITS
+    while bits < 64 * n and bits < 8 * max_filter_bytes:
+        bits *= 2
+    place = F.col("g").bitwiseAND(F.lit(bits - 1))
+    maps = hashes.select(place.alias("p")).groupBy(F.shiftrightunsigned("p", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(BITS - 1))).alias("m")).toPandas()
+    out = np.zeros(bits // 8, np.uint8)
+    for block, m in zip(maps["block"], maps["m"], strict=True):
+        out[block * (BITS // 8) : (block + 1) * (BITS // 8)] = np.frombuffer(m, np.uint8)
+    return out
+
+
+def _passing(bitmap: np.ndarray, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, at, g = anchors(raw, off)
+    place = (g & np.uint64(8 * len(bitmap) - 1)).astype(np.int64)
+    hit = np.flatnonzero((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
+    return row[hit], at[hit], g[hit]
+
+
+def _fixed(rows: np.ndarray) -> pa.Array:
+    """A matrix of bytes as binary values."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((np.arange(n + 1) * width).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _digests(raw: np.ndarray, off: np.ndarray, row: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes before and from each anchor that its context has, and a 16-byte digest of both parts."""
+    lo, hi = np.maximum(at - REACH, off[row]), np.minimum(at + LENGTH, off[row + 1])
+    p = Prefix(byte_values(raw))
+    return at - lo, hi - at, np.stack([p.span(lo, at), p.span(at, hi)], axis=1).view(np.uint8).reshape(-1, 16)
+
+
+def _grams(docs: DataFrame) -> DataFrame:
+    """Gram hashes that occur at more than one anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,40 +115,46 @@ def _repeated_filter(docs: DataFrame, max_filter_bytes: int) -> tuple[np.ndarray
                 _, _, g = anchors(*bytes_of(b.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64))], names=["g"])
 
-    seen = docs.where(F.octet_length("t") >= LENGTH).select("t").mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n"))
-    twice = materialise(seen.where("n > 1").select("g"), "grams")
-    bits = BITS
-    while bits < 64 * twice.count() and bits < 8 * max_filter_bytes:
-        bits *= 2
-    place = F.shiftrightunsigned("g", 64 - (bits.bit_length() - 1))
-    maps = twice.select(place.alias("p")).groupBy(F.shiftrightunsigned("p", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(BITS - 1))).alias("m")).toPandas()
-    out = np.zeros(bits // 8, np.uint8)
-    for block, m in zip(maps["block"], maps["m"], strict=True):
-        out[block * (BITS // 8) : (block + 1) * (BITS // 8)] = np.frombuffer(m, np.uint8)
-    return out, 64 - (bits.bit_length() - 1)
+    return docs.where(F.octet_length("t") >= LENGTH).select("t").mapInArrow(run, "g bigint").groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
 
 
-def _contexts(docs: DataFrame, bitmap: np.ndarray, shift: int) -> DataFrame:
-    """Anchors that pass the filter: id, th, pos, g, ctx (600 bytes, padded)."""
+def _hits(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """Anchors whose gram may be repeated: id, th, pos, g, before, behind, cid (digest of the context)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "t"):
                 raw, off = bytes_of(b.column(2))
-                row, at, g = anchors(raw, off)
-                place = (g >> np.uint64(shift)).astype(np.int64)
-                hit = np.flatnonzero((bitmap[place >> 3] >> (place & 7).astype(np.uint8)) & 1)
-                for k in range(0, len(hit), 4096):
-                    h = hit[k : k + 4096]
+                row, at, g = _passing(bitmap, raw, off)
+                if len(row):
+                    before, behind, cid = _digests(raw, off, row, at)
+                    take = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at - off[row]), pa.array(g.view(np.int64)), pa.array(before.astype(np.int32)), pa.array(behind.astype(np.int32)), _fixed(cid)], names=["id", "th", "pos", "g", "before", "behind", "cid"])
+
+    return docs.where(F.octet_length("t") >= LENGTH).mapInArrow(run, f"id {kind}, th bigint, pos bigint, g bigint, before int, behind int, cid binary")
+
+
+def _contexts(docs: DataFrame, bitmap: np.ndarray) -> DataFrame:
+    """The distinct contexts of anchors whose gram may continue in several ways: cid, g, ctx (600 bytes, padded)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sent: set[bytes] = set()
+            for b in slices(batch, "t"):
+                raw, off = bytes_of(b.column(0))
+                row, at, g = _passing(bitmap, raw, off)
+                if not len(row):
+                    continue
+                cid = _digests(raw, off, row, at)[2]
+                new = np.array([not (c in sent or sent.add(c)) for c in map(bytes, cid)])
+                for h in np.array_split(np.flatnonzero(new), max(1, new.sum() // 4096)):
                     where = at[h][:, None] + np.arange(-REACH, LENGTH)
                     inside = (where >= off[row[h]][:, None]) & (where < off[row[h] + 1][:, None])
                     ctx = np.where(inside, raw[np.clip(where, 0, len(raw) - 1)], np.uint8(PAD))
-                    flat = pa.Array.from_buffers(pa.binary(), len(h), [None, pa.py_buffer((np.arange(len(h) + 1) * (REACH + LENGTH)).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ctx))])
-                    take = pa.array(row[h])
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(at[h] - off[row[h]]), pa.array(g[h].view(np.int64)), flat], names=["id", "th", "pos", "g", "ctx"])
+                    yield pa.RecordBatch.from_arrays([_fixed(cid[h]), pa.array(g[h].view(np.int64)), _fixed(ctx)], names=["cid", "g", "ctx"])
 
-    return docs.where(F.octet_length("t") >= LENGTH).mapInArrow(run, f"id {kind}, th bigint, pos bigint, g bigint, ctx binary")
+    return docs.where(F.octet_length("t") >= LENGTH).select("t").mapInArrow(run, "cid binary, g bigint, ctx binary").dropDuplicates(["cid"])
 
 
 def key_of(ctx: bytes, forward: bool) -> bytes:
@@ -285,41 +325,44 @@ def _neighbours(distinct: DataFrame, forward: bool, per_range: int, sample_rows:
 
 
 def _window_rows(bounds: DataFrame) -> DataFrame:
-    """The windows of contexts (cid, ctx, l, r) between their bounds: cid, o, win."""
+    """The windows of contexts between their bounds: cid, o, and the window with its gram and offset.
+
+    Equal windows have equal anchors at equal offsets. Keyed by all three, a window that two anchors
+    of one text both hold isn't taken for two places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(c, o, x[REACH - o : REACH - o + LENGTH]) for c, x, l, r in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True) for o in range(max(0, LENGTH - r), l + 1)]
-            c, o, w = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(o, pa.int32()), pa.array(w, pa.binary())], names=["cid", "o", "win"])
+            rows = [(c, o, n, x[REACH - o : REACH - o + LENGTH] + b"%d:%d" % (g, o)) for c, x, l, r, g, n in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True) for o in range(max(0, LENGTH - r), l + 1)]
+            c, o, n, w = zip(*rows, strict=True) if rows else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(o, pa.int32()), pa.array(n, pa.int64()), pa.array(w, pa.binary())], names=["cid", "o", "n", "win"])
 
-    return bounds.select("cid", "ctx", "l", "r").mapInArrow(run, "cid binary, o int, win binary")
+    return bounds.select("cid", "ctx", "l", "r", "g", "n").mapInArrow(run, "cid binary, o int, n bigint, win binary")
 
 
 def spans(docs: DataFrame, max_filter_bytes: int = 64 << 20, per_range: int = 20_000, sample_rows: int = 20_000) -> DataFrame:
     """Covered pieces of texts (id, th, start, end), not yet joined; ``docs``: id, th, t."""
-    bitmap, shift = _repeated_filter(docs, max_filter_bytes)
-    found = materialise(_contexts(docs, bitmap, shift).withColumn("cid", F.unhex(F.md5("ctx"))), "contexts")
-    distinct = materialise(found.groupBy("cid", "g", "ctx").agg(F.count("*").alias("n")), "distinct")
+    hits = materialise(_hits(docs, _bitmap(materialise(_grams(docs), "grams"), max_filter_bytes)), "hits")
+    classes = materialise(hits.groupBy("cid", "g", "before", "behind").agg(F.count("*").alias("n")), "classes")
+    several = materialise(classes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "several")
+    distinct = materialise(_contexts(docs, _bitmap(several, max_filter_bytes)), "contexts")
     near = _neighbours(distinct, True, per_range, sample_rows).union(_neighbours(distinct, False, per_range, sample_rows))
     enough = F.col("l") + F.col("r") >= LENGTH
     best = near.groupBy("cid").agg(F.max("l").alias("l"), F.max("r").alias("r"), F.coalesce(F.max(F.when(enough, F.col("l"))), F.lit(-1)).alias("ql"), F.coalesce(F.max(F.when(enough, F.col("r"))), F.lit(-1)).alias("qr"))
-    known = distinct.select("cid", "g", "ctx", "n").join(best.withColumnRenamed("cid", "c2"), F.col("cid") == F.col("c2"), "left").drop("c2")
-    pad = F.hex("ctx")
-    left = F.lit(REACH) - F.floor((F.length(pad) - F.length(F.regexp_replace(F.substring(pad, 1, 2 * REACH), "^(FF)+", "")) - 2 * LENGTH) / 2).cast("int")
-    right = F.floor(F.length(F.regexp_replace(F.substring(pad, 2 * REACH + 1, 2 * LENGTH), "(FF)+$", "")) / 2).cast("int")
-    # a context that occurs twice shares all it has
-    known = known.select("cid", "g", "ctx", "n", *(F.when(F.col("n") > 1, whole).otherwise(F.coalesce(c, F.lit(-1))).alias(c) for c, whole in (("l", left), ("r", right), ("ql", left), ("qr", right))))
-    known = materialise(known, "known")
+    known = classes.join(best.withColumnRenamed("cid", "c2"), F.col("cid") == F.col("c2"), "left")
+    # a context that occurs twice shares all it has; one that wasn't sorted is its gram's only one
+    shared = [F.when(F.col("n") > 1, F.col(whole)).otherwise(F.coalesce(c, F.lit(-1))).alias(c) for c, whole in (("l", "before"), ("r", "behind"), ("ql", "before"), ("qr", "behind"))]
+    known = materialise(known.select("cid", "g", "n", *shared), "known")
     possible = F.col("l") + F.col("r") >= LENGTH
     open_grams = known.where(possible & ((F.col("ql") < F.col("l")) | (F.col("qr") < F.col("r")))).select("g").distinct().withColumn("open", F.lit(True))
     judged = materialise(lookup(known, open_grams, "g", "left"), "judged")
     whole = judged.where(F.col("open").isNull() & possible).select("cid", F.col("ql").alias("l"), F.col("qr").alias("r"))
-    wins = materialise(_window_rows(judged.where(F.col("open") & possible)).join(judged.select(F.col("cid").alias("c2"), "n"), F.col("cid") == F.col("c2")).drop("c2"), "windows")
+    unsure = judged.where(F.col("open") & possible).select(F.col("cid").alias("c2"), "l", "r", "n")
+    wins = materialise(_window_rows(distinct.select("cid", "g", "ctx").join(unsure, F.col("cid") == F.col("c2"))), "windows")
     twice = wins.groupBy("win").agg(F.sum("n").alias("places")).where("places > 1").select("win")
     hit = lookup(wins, twice, "win").groupBy("cid").agg(F.max("o").alias("l"), (F.lit(LENGTH) - F.min("o")).alias("r"))
     covered = whole.union(hit)
-    return lookup(found.select("id", "th", "pos", "cid"), covered, "cid").select("id", "th", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
+    return lookup(hits.select("id", "th", "pos", "cid"), covered, "cid").select("id", "th", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
 
 
 def joined(pieces: np.ndarray) -> np.ndarray:
@@ -332,32 +375,42 @@ def joined(pieces: np.ndarray) -> np.ndarray:
 
 
 def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """id, th, t and ``spans``, the sorted maximal removed runs [start, end) in bytes, of every row."""
+    """id, th, t and ``pieces``, the covered pieces in bytes, of every row; only covered texts shuffle."""
     docs = _ids(df, id_col, text_col)
-    pieces = spans(docs, **limits).distinct().groupBy(F.col("id").alias("i2"), F.col("th").alias("h2")).agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
-    return docs.join(pieces, (F.col("id").eqNullSafe(F.col("i2"))) & (F.col("th") == F.col("h2")), "left").select("id", "th", "t", "pieces")
+    found = materialise(spans(docs, **limits).distinct(), "pieces")
+    pieces = found.groupBy(F.col("id").alias("i2"), F.col("th").alias("h2")).agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
+    tested = maybe_in(docs, "th", found.select("th"))
+    none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>")
+    alone = tested.where(~F.col("_maybe")).select("id", "th", "t", none.alias("pieces"))
+    rest = tested.where("_maybe").join(pieces, (F.col("id").eqNullSafe(F.col("i2"))) & (F.col("th") == F.col("h2")), "left")
+    return alone.union(rest.select("id", "th", "t", "pieces"))
 
 
-def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """One row per row of ``df``: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes), spans."""
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, **limits) -> DataFrame:
+    """One row per row of ``df``: id, n_bytes, n_removed, n_spans, kept_sha256, spans, and kept (bytes, if asked for)."""
     kind = df.schema[id_col].dataType.simpleString()
+    fields = [("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))]
+    schema = f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start: bigint, end: bigint>>"
+    if keep_bytes:
+        fields, schema = [*fields, ("kept", pa.binary())], schema + ", kept binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for t, p in zip(b.column(1), b.column(2), strict=True):
-                raw = (t.as_py() or "").encode()
-                cut = joined(np.array([(x["start"], x["end"]) for x in p.as_py()], np.int64)) if p.is_valid and len(p) else np.zeros((0, 2), np.int64)
-                edges = [0, *cut.ravel().tolist(), len(raw)]
-                kept = b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
-                rows.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept, [{"start": s, "end": e} for s, e in cut.tolist()]))
-            span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), span), strict=True))], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"])
+        for batch in batches:
+            for b in slices(batch, "t", 8 << 20):
+                data, off = bytes_of(b.column(1))
+                rows = []
+                for k, p in enumerate(b.column(2)):
+                    raw = data[off[k] : off[k + 1]].tobytes()
+                    cut = joined(np.array([(x["start"], x["end"]) for x in p.as_py()], np.int64)) if p.is_valid and len(p) else np.zeros((0, 2), np.int64)
+                    edges = [0, *cut.ravel().tolist(), len(raw)]
+                    kept = b"".join(raw[edges[i] : edges[i + 1]] for i in range(0, len(edges), 2))
+                    rows.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in cut.tolist()], *([kept] if keep_bytes else [])))
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True))], names=["id", *(n for n, _ in fields)])
 
     out = removed_spans(df, id_col, text_col, **limits).select("id", "t", "pieces")
-    return out.mapInArrow(run, f"id {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, spans array<struct<start: bigint, end: bigint>>").withColumnRenamed("id", id_col)
+    return out.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    c = cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    c = cleaned(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep_bytes=False)
     return c.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
