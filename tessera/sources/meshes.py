@@ -143,13 +143,13 @@ def brick_grid(n: int, shift: float = 0.45) -> Mesh:
 
 
 def synthetic_tooth(n: int = 140) -> Mesh:
-    """One crown on a sloping gum over [-7, 7]^2: wall at radius 4, four cusps, a cross fissure."""
+    """One crown on a sloping gum over [-7, 7]^2: wall that ends at radius 4, four cusps, a cross fissure."""
     g = grid(n, n)
     if not len(g.x):
         return g
     x, y = 14 * g.x[:, 0] - 7, 14 * g.x[:, 1] - 7
     r = np.hypot(x, y)
-    t = np.clip((4.4 - r) / 0.8, 0, 1)
+    t = np.clip((4.0 - r) / 0.8, 0, 1)
     wall = 5.0 * t * t * (3 - 2 * t)
     cusps = sum(1.6 * np.exp(-((x - a) ** 2 + (y - b) ** 2) / (2 * 0.8**2)) for a in (-1.8, 1.8) for b in (-1.8, 1.8))
     fissure = -0.8 * np.maximum(np.exp(-(x**2) / 0.18), np.exp(-(y**2) / 0.18)) * (r < 3)
