@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lookup, materialise
+from .common import components, lookup, materialise, maybe_in
 
 _TABLE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -99,10 +99,15 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group, with all their columns (null ids stay)."""
+    """The rows of ``df`` whose id is the smallest of its group, with all their columns (null ids stay).
+
+    Rows that surely stay don't shuffle; ``_sh_key`` is a reserved name.
+    """
     groups = simhash_groups(df, id_col, text_col, max_bits)
-    drop = groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct()
-    return df.join(drop, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
+    gone = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "dropped")
+    tested = maybe_in(df.withColumn("_sh_key", F.xxhash64(f"`{id_col}`")), "_sh_key", gone.select(F.xxhash64("_drop").alias("_sh_key")))
+    rest = tested.where("_maybe").join(gone, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
+    return tested.where(~F.col("_maybe")).union(rest).select(*df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
