@@ -314,3 +314,49 @@ def compare_boundaries(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
         precision, recall = (p <= t).mean(), (q <= t).mean()
         f1[name] = 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0
     return {"assd": float(np.concatenate([p, q]).mean()), "hd95": max(pick(p, 0.95), pick(q, 0.95)), **f1}
+
+
+SEED_FEATURES = ["score", "height_rank", "kmin", "kmax", "mean", "cut_distance"]
+VERTEX_FEATURES = ["gum_share", "log_gum", "log_tooth", "height_rank", "height", "kmin", "kmax", "valley", "log_cut"]
+FAR = 100.0
+
+
+def height_rank(i: Inputs) -> np.ndarray:
+    """Share of the arch's vertices that lie strictly lower."""
+    h = np.sort(i.height[i.arch])
+    return np.searchsorted(h, i.height, side="left") / max(1, len(h))
+
+
+def cut_distance(i: Inputs) -> np.ndarray:
+    """Edge distance to the scan's boundary; 100 where none is reached."""
+    u, v, length = i.edges
+    d = dijkstra(len(i.height), adjacency(len(i.height), u, v, length), np.flatnonzero(i.cut).tolist(), allowed=i.arch)[0]
+    return np.where(np.isfinite(d), d, FAR)
+
+
+def seed_features(i: Inputs, score: np.ndarray) -> np.ndarray:
+    """One row of :data:`SEED_FEATURES` for each tip, given the tips' scores."""
+    mean, kmax, _ = (np.nan_to_num(x) for x in curvatures(i.mesh))
+    smooth = diffuse(i.ops, mean, 0.5)
+    t = i.tips
+    return np.stack([score, height_rank(i)[t], i.kmin[t], kmax[t], smooth[t], cut_distance(i)[t]], axis=1) if len(t) else np.zeros((0, 6))
+
+
+def vertex_features(i: Inputs, p: MarginParams) -> np.ndarray:
+    """One row of :data:`VERTEX_FEATURES` for each vertex; curvatures clamp at 30, heights at 20."""
+    valley = np.maximum(0, -i.kmin)
+    _, gum, tooth = _fields(i, valley, p, _seeds(i, p))
+    log = lambda d: np.log1p(np.where(np.isfinite(d), d, FAR))
+    share = np.where(np.isfinite(gum + tooth), gum / np.maximum(gum + tooth, 1e-12), np.where(np.isfinite(gum), 0.0, 1.0))
+    mid = i.height - np.median(i.height[i.arch]) if i.arch.any() else i.height
+    kmax = np.nan_to_num(curvatures(i.mesh)[1])
+    clamp = lambda x, c: np.clip(x, -c, c)
+    return np.stack([share, log(gum), log(tooth), height_rank(i), clamp(mid, 20), clamp(i.kmin, 30), clamp(kmax, 30), clamp(valley, 30), log(cut_distance(i))], axis=1)
+
+
+def breakdown(m: Mesh, area: np.ndarray, predicted: np.ndarray, truth: np.ndarray) -> dict[str, float]:
+    """Where a labelling errs: areas missed and added, and teeth of which less than half is covered."""
+    p = predicted > 0
+    teeth_ = [k for k in np.unique(truth) if k]
+    covered = [area[(truth == k) & p].sum() / max(area[truth == k].sum(), 1e-300) for k in teeth_]
+    return {"missed_area": float(area[(truth > 0) & ~p].sum()), "added_area": float(area[(truth == 0) & p].sum()), "teeth": len(teeth_), "missed_teeth": int(sum(c < 0.5 for c in covered))}

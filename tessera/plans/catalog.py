@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_evaluation, q_geometry, q_spatial, q_topology
+from . import q_evaluation, q_geometry, q_spatial, q_topology, q_views
 from .registry import ORACLES, QUERIES
 
-_ = (q_evaluation, q_geometry, q_spatial, q_topology)
+_ = (q_evaluation, q_geometry, q_spatial, q_topology, q_views)
 
 
 def queries() -> dict:
