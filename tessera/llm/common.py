@@ -54,8 +54,8 @@ def same_but_unplaced(key: Column, kind: str) -> Column:
 def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join a table unique in ``key`` to rows in which one key may hold any share of the rows."""
     kind = dict(table.dtypes)[key]
-    right = table.withColumn("_k", same_but_unplaced(F.col(key), kind)).drop(key)
-    return rows.join(right, rows[key] == right["_k"], how).drop("_k")
+    right = table.withColumn("_lookup_key", same_but_unplaced(F.col(key), kind)).drop(key)
+    return rows.join(right, rows[key] == right["_lookup_key"], how).drop("_lookup_key")
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -94,7 +94,7 @@ _BITS = 32768
 
 
 def maybe_in(rows: DataFrame, column: str, keys: DataFrame, max_bytes: int = 32 << 20) -> DataFrame:
-    """Adds ``_maybe``: false only where the bigint in ``column`` surely isn't among ``keys`` (same name).
+    """Adds ``_mb_maybe``: false only where the bigint in ``column`` surely isn't among ``keys`` (same name).
 
     The keys' low bits (they should be hashes) make a bitmap that is broadcast in blocks of 4 KiB.
     Its size is bounded, so with too many keys more rows are true. Rows don't shuffle.
@@ -104,7 +104,7 @@ def maybe_in(rows: DataFrame, column: str, keys: DataFrame, max_bytes: int = 32
     while bits < 32 * n and bits < 8 * max_bytes:
         bits *= 2
     place = F.col(column).bitwiseAND(F.lit(bits - 1))
-    maps = keys.select(place.alias("p")).groupBy(F.shiftrightunsigned("p", 15).alias("_at")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_BITS - 1))).alias("_map"))
-    j = rows.withColumn("_p", place).join(F.broadcast(maps), F.shiftrightunsigned("_p", 15) == F.col("_at"), "left")
-    byte = F.conv(F.hex(F.expr(f"substring(_map, cast((_p & {_BITS - 1}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    return j.withColumn("_maybe", F.coalesce(F.getbit(byte, F.expr("cast(_p % 8 as int)")) == 1, F.lit(False))).drop("_p", "_at", "_map")
+    maps = keys.select(place.alias("p")).groupBy(F.shiftrightunsigned("p", 15).alias("_mb_at")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(_BITS - 1))).alias("_mb_map"))
+    j = rows.withColumn("_mb_p", place).join(F.broadcast(maps), F.shiftrightunsigned("_mb_p", 15) == F.col("_mb_at"), "left")
+    byte = F.conv(F.hex(F.expr(f"substring(_mb_map, cast((_mb_p & {_BITS - 1}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return j.withColumn("_mb_maybe", F.coalesce(F.getbit(byte, F.expr("cast(_mb_p % 8 as int)")) == 1, F.lit(False))).drop("_mb_p", "_mb_at", "_mb_map")

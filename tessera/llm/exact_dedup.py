@@ -71,7 +71,7 @@ def _blocks(rows: int, bits_per_row: int, max_blocks: int) -> int:
 
 def _winners(maybe: DataFrame) -> DataFrame:
     best = F.min(F.struct((-F.col("_xd_len")).alias("l"), F.col("_xd_id").alias("i")))
-    return maybe.groupBy("_xd_sha").agg(best.alias("b"), F.count("*").alias("group_size")).select("_xd_sha", F.col("b.i").alias("keep_id"), "group_size")
+    return maybe.groupBy("_xd_sha").agg(best.alias("b"), F.count("*").alias("_xd_size")).select("_xd_sha", F.col("b.i").alias("_xd_keep"), "_xd_size")
 
 
 def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 32, max_blocks: int = 8192) -> DataFrame:
@@ -79,11 +79,11 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
     digests = materialise(_digests(df, id_col, text_col), "digests")
     blocks = _blocks(digests.count(), bits_per_row, max_blocks)
     tested = _tested(digests, _repeated_bits(digests, blocks), blocks)
-    alone = tested.where(~F.col("_xd_maybe")).select("_xd_id", "_xd_sha", F.col("_xd_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"))
+    alone = tested.where(~F.col("_xd_maybe")).select("_xd_id", "_xd_sha", F.col("_xd_id").alias("_xd_keep"), F.lit(1).cast("bigint").alias("_xd_size"))
     maybe = tested.where("_xd_maybe").drop("_xd_maybe")
     grouped = lookup(maybe.drop("_xd_len"), _winners(maybe), "_xd_sha").select(*alone.columns)
     out = alone.unionByName(grouped)
-    return out.select(F.col("_xd_id").alias(id_col), "keep_id", "group_size", F.col("_xd_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("_xd_sha")).alias("text_sha256"))
+    return out.select(F.col("_xd_id").alias(id_col), F.col("_xd_keep").alias("keep_id"), F.col("_xd_size").alias("group_size"), F.col("_xd_id").eqNullSafe(F.col("_xd_keep")).alias("kept"), F.lower(F.hex("_xd_sha")).alias("text_sha256"))
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 32, max_blocks: int = 8192) -> DataFrame:
@@ -95,7 +95,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     tested = _tested(whole, bitmaps, blocks)
     alone = tested.where(~F.col("_xd_maybe")).select(*df.columns)
     winners = _winners(_tested(digests, bitmaps, blocks).where("_xd_maybe"))
-    maybe = lookup(tested.where("_xd_maybe"), winners, "_xd_sha").where(F.col(f"`{id_col}`").eqNullSafe(F.col("keep_id")))
+    maybe = lookup(tested.where("_xd_maybe"), winners, "_xd_sha").where(F.col(f"`{id_col}`").eqNullSafe(F.col("_xd_keep")))
     return alone.union(maybe.dropDuplicates(["_xd_sha"]).select(*df.columns))
 
 

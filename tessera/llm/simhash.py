@@ -101,13 +101,13 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group, with all their columns (null ids stay).
 
-    Rows that surely stay don't shuffle; ``_sh_key`` is a reserved name.
+    Rows that surely stay don't shuffle; names starting with ``_sh_`` and ``_mb_`` are reserved.
     """
     groups = simhash_groups(df, id_col, text_col, max_bits)
-    gone = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_drop")).distinct(), "dropped")
-    tested = maybe_in(df.withColumn("_sh_key", F.xxhash64(f"`{id_col}`")), "_sh_key", gone.select(F.xxhash64("_drop").alias("_sh_key")))
-    rest = tested.where("_maybe").join(gone, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
-    return tested.where(~F.col("_maybe")).union(rest).select(*df.columns)
+    gone = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_sh_drop")).distinct(), "dropped")
+    tested = maybe_in(df.withColumn("_sh_key", F.xxhash64(f"`{id_col}`")), "_sh_key", gone.select(F.xxhash64("_sh_drop").alias("_sh_key")))
+    rest = tested.where("_mb_maybe").join(gone, F.col(f"`{id_col}`") == F.col("_sh_drop"), "left_anti")
+    return tested.where(~F.col("_mb_maybe")).union(rest).select(*df.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -35,5 +35,5 @@ def frame(spark, rows=None, extra=True):
     if extra:  # names that operators use inside
         from pyspark.sql import functions as F
 
-        df = df.withColumns({"id": F.lit("x"), "t": F.lit(1), "v": F.lit(2.0), "kept": F.lit(True), "score": F.lit(0)})
+        df = df.withColumns({"id": F.lit("x"), "t": F.lit(1), "v": F.lit(2.0), "kept": F.lit(True), "score": F.lit(0), "keep_id": F.lit(5), "group_size": F.lit(6), "_k": F.lit(7), "_p": F.lit(8), "component_id": F.lit(9), "fp": F.lit("f"), "bad": F.lit(1), "n": F.lit(0)})
     return df
