@@ -172,13 +172,13 @@ def _statistics(docs: DataFrame, bits: int, window: int, fit_passages: int) -> t
     every = max(1, count.get(-2, 0) // fit_passages)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Whole documents by hash, so that only their texts are read into words."""
+        """An eighth of the passages of hashed documents, chosen by their words."""
         for batch in batches:
             for b in slices(batch, "t"):
                 keys, rows = word_keys(*bytes_of(b.column(1)))
                 start, row, _ = half_windows(rows, window // 2)
                 end = np.minimum(start + window, rows[row + 1])
-                take = mix(keys[start] ^ row.astype(np.uint64)) % np.uint64(8) == 0 if len(start) else start.astype(bool)
+                take = mix(keys[start] ^ mix(keys[np.minimum(start + 7, end - 1)])) % np.uint64(8) == 0 if len(start) else start.astype(bool)
                 yield pa.RecordBatch.from_arrays([pa.array([terms_of(keys[a:z]).astype(np.int32) for a, z in zip(start[take], end[take], strict=True)], pa.list_(pa.int32()))], names=["terms"])
 
     some = docs.where(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit(5)), F.lit(max(1, every // 8))) == 0)
@@ -227,7 +227,7 @@ def _products(passages: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.nda
     return out
 
 
-def fit(docs: DataFrame, benchmark: list[tuple[int, str | None]], bits: int = 14, rank: int = 192, window: int = 48, fit_passages: int = 20_000, rounds: int = 1, cosine: float = 0.65, overlap: float = 0.8, loose: float = 0.6) -> Finder:
+def fit(docs: DataFrame, benchmark: list[tuple[int, str | None]], bits: int = 14, rank: int = 192, window: int = 48, fit_passages: int = 20_000, rounds: int = 1, cosine: float = 0.55, overlap: float = 0.8, loose: float = 0.6) -> Finder:
     """``docs``: columns id and t. ``benchmark``: a stated query set of (item id, text)."""
     spark, terms_of = docs.sparkSession, Terms(bits)
     items = [it for it in (Item(i, t or "") for i, t in benchmark) if it.size]
