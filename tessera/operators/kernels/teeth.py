@@ -54,6 +54,41 @@ def curvatures(m: Mesh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mean + nan, mean + root + nan, mean - root + nan
 
 
+def intrinsic_curvatures(m: Mesh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, k1, k2) with mixed areas and cotangents of the intrinsic Delaunay triangulation.
+
+    Angle defects stay those of the faces as given; faces of no area are left out of the areas.
+    """
+    n = len(m.x)
+    t = Intrinsic(m)
+    rim = np.zeros(n, bool)
+    rim[t.origin[t.twin < 0]] = True
+    rim[t.dest(np.flatnonzero(t.twin < 0))] = True
+    turn = np.bincount(t.origin, np.arctan2(1.0, t.cotangents().reshape(-1, 3)[:, [1, 2, 0]].ravel()), n)
+    t.to_delaunay()
+    area, l2, cot = t.areas(), t.len.reshape(-1, 3) ** 2, t.cotangents().reshape(-1, 3)
+    f, mixed, pull = t.origin.reshape(-1, 3), np.zeros(n), np.zeros((n, 3))
+    obtuse = (cot < 0).any(1)
+    for k in range(3):
+        # corner k lies opposite edge k + 1; its own edges are k and k + 2
+        i, j = (k + 1) % 3, (k + 2) % 3
+        part = np.where(obtuse, np.where(cot[:, i] < 0, area / 2, area / 4), (l2[:, k] * cot[:, k] + l2[:, j] * cot[:, j]) / 8)
+        np.add.at(mixed, f[:, k], np.where(area > 0, part, 0))
+        e = cot[:, k, None] * (m.x[f[:, i]] - m.x[f[:, k]])
+        np.add.at(pull, f[:, k], -e)
+        np.add.at(pull, f[:, i], e)
+    p = m.x[m.f]
+    normal = np.zeros((n, 3))
+    for k in range(3):
+        np.add.at(normal, m.f[:, k], np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]))
+    inner = ~rim & (mixed > 0)
+    a, size = np.where(inner, mixed, 1), np.linalg.norm(normal, axis=1)
+    mean = np.where(size > 0, (pull * normal).sum(1) / np.where(size > 0, size, 1), 0) / (4 * a)
+    root = np.sqrt(np.maximum(mean**2 - (2 * np.pi - turn) / a, 0))
+    nan = np.where(inner, 0, np.nan)
+    return mean + nan, mean + root + nan, mean - root + nan
+
+
 def diffuse(ops: Operators, f: np.ndarray, sigma: float, tol: float = 1e-4) -> np.ndarray:
     """(star0 - t L) x = star0 f with t = sigma^2 / 2."""
     s0 = np.where(ops.star0 > 0, ops.star0, 1.0)

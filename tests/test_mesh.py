@@ -95,6 +95,15 @@ def test_curvature_kernel_equals_the_relational_one(spark):
     assert np.allclose(c["mean"], mean) and np.allclose(c["k1"], k1) and np.allclose(c["k2"], k2)
 
 
+def test_intrinsic_curvature_equals_the_plain_one_on_a_delaunay_mesh():
+    m = M.icosphere(2)
+    assert surface.Intrinsic(m).is_delaunay()
+    for a, b in zip(teeth.intrinsic_curvatures(m), teeth.curvatures(m), strict=True):
+        assert np.allclose(a, b, equal_nan=True)
+    flat = teeth.intrinsic_curvatures(M.brick_grid(10))[0]
+    assert np.nanmax(np.abs(flat)) < 1e-9
+
+
 def test_curvature_converges_with_second_order():
     errors = []
     for n in (16, 32, 64):
