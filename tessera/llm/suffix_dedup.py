@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import lookup, materialise, maybe_in
-from .textnum import Prefix, byte_values, bytes_of, sliding_min, slices
+from .textnum import Prefix, byte_values, bytes_of, runs_inside, sliding_min, slices
 
 LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM  # bytes before an anchor that a window can hold
@@ -56,15 +56,14 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int =
     g = Prefix(byte_values(raw)).span(np.arange(n), np.arange(gram, n + gram))
     bits = np.uint64(max(24, int(n).bit_length()))
     least = sliding_min((g >> bits << bits) | np.arange(n, dtype=np.uint64), length - gram + 1)
-    p = np.arange(len(least))
-    row = np.searchsorted(off, p, "right") - 1
-    inside = p + length <= off[row + 1]
+    inside = runs_inside(off, length)[: len(least)]
     at = (least[inside] & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
     if not len(at):
         return none, none, none.astype(np.uint64)
     first = np.ones(len(at), bool)
     first[1:] = at[1:] != at[:-1]
-    return row[inside][first], at[first], g[at[first]]
+    at = at[first]
+    return np.searchsorted(off, at, "right") - 1, at, g[at]
 
 
 def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -76,7 +75,7 @@ def _ids(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _bitmap(hashes: DataFrame, max_filter_bytes: int) -> np.ndarray:
     """A bitmap over the low bits of the column ``g`` (anchors have small hashes), of bounded size."""
     n, bits = hashes.count(), BITS
-    while bits < 64 * n and bits < 8 * max_filter_bytes:
+    while bits < 32 * n and bits < 8 * max_filter_bytes:
         bits *= 2
     place = F.col("g").bitwiseAND(F.lit(bits - 1))
     maps = hashes.select(place.alias("p")).groupBy(F.shiftrightunsigned("p", 15).alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(BITS - 1))).alias("m")).toPandas()
@@ -381,8 +380,8 @@ def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pieces = found.groupBy(F.col("id").alias("i2"), F.col("th").alias("h2")).agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
     tested = maybe_in(docs, "th", found.select("th"))
     none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>")
-    alone = tested.where(~F.col("_maybe")).select("id", "th", "t", none.alias("pieces"))
-    rest = tested.where("_maybe").join(pieces, (F.col("id").eqNullSafe(F.col("i2"))) & (F.col("th") == F.col("h2")), "left")
+    alone = tested.where(~F.col("_mb_maybe")).select("id", "th", "t", none.alias("pieces"))
+    rest = tested.where("_mb_maybe").join(pieces, (F.col("id").eqNullSafe(F.col("i2"))) & (F.col("th") == F.col("h2")), "left")
     return alone.union(rest.select("id", "th", "t", "pieces"))
 
 

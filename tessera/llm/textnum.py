@@ -136,3 +136,10 @@ def trimmed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, most: int =
         starts = starts + ((starts < ends - 1) & _OUTER[data[starts]])
         ends = ends - ((starts < ends - 1) & _OUTER[data[ends - 1]])
     return starts, ends
+
+
+def runs_inside(offsets: np.ndarray, width: int) -> np.ndarray:
+    """For each place, whether the ``width`` places from it lie in one row."""
+    size = np.diff(offsets)
+    starts = np.maximum(size - width + 1, 0)
+    return np.repeat(np.tile([True, False], len(size)), np.stack([starts, size - starts], axis=1).ravel())
