@@ -76,7 +76,7 @@ def pointwise_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT .25 AS a0, .25 AS a1, .5 AS a2")
+@query("SELECT .25::DOUBLE AS a0, .25::DOUBLE AS a1, .5::DOUBLE AS a2")
 def obtuse_mixed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = geometry.curvature(*tables(spark, {"t": M.Mesh([(0, 0, 0), (4, 0, 0), (2, 0.5, 0)], [(0, 1, 2)])}))
     return c.agg(*(F.max(F.when(F.col("v") == k, F.round("area", 9))).alias(f"a{k}") for k in range(3)))
@@ -138,7 +138,7 @@ def _jittered(n: int) -> M.Mesh:
     return g
 
 
-@query("SELECT 128::BIGINT AS n, 2.0 AS gx, -3.0 AS gy, 0.0 AS gz, 1::BIGINT AS distinct_gradients")
+@query("SELECT 128::BIGINT AS n, 2.0::DOUBLE AS gx, (-3.0)::DOUBLE AS gy, 0.0::DOUBLE AS gz, 1::BIGINT AS distinct_gradients")
 def gradient_of_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The face gradient of 2x - 3y + 1 is (2, -3, 0) on every face of a jittered grid."""
     v, f = tables(spark, {"g": _jittered(8)})

@@ -49,7 +49,7 @@ def boundary_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("label", F.round("assd", 6).alias("assd"), F.round("hd95", 6).alias("hd95"))
 
 
-@query("SELECT 0.3 AS assd, 0.3 AS hd95, 0.0 AS f1_025, 1.0 AS f1_050")
+@query("SELECT 0.3::DOUBLE AS assd, 0.3::DOUBLE AS hd95, 0.0::DOUBLE AS f1_025, 1.0::DOUBLE AS f1_050")
 def parallel_lines_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda y: spark.range(21).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.col("id") * 0.1).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z"))
     return metrics.boundary_metrics(line(0.0), line(0.3), ["g"]).select(*(F.round(c, 9).alias(c) for c in ("assd", "hd95", "f1_025", "f1_050")))
@@ -171,7 +171,7 @@ def closest_on_triangle(p: str, a: str, b: str, c: str) -> Column:
     return F.when(inside, F.try_divide(h * h, nn)).otherwise(F.least(segment(x, y), segment(y, z), segment(z, x)))
 
 
-@query("SELECT * FROM (VALUES (0, 1.0), (1, 1.0), (2, 1.414214), (3, 0.0), (4, 0.707107)) t(k, d)")
+@query("SELECT k, d::DOUBLE AS d FROM (VALUES (0, 1.0), (1, 1.0), (2, 1.414214), (3, 0.0), (4, 0.707107)) t(k, d)")
 def closest_point_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances to one triangle from above, from an edge, from a corner, inside, and beyond the long side."""
     p = spark.createDataFrame([(0, 0.25, 0.25, 1.0), (1, 0.5, -1.0, 0.0), (2, -1.0, -1.0, 0.0), (3, 0.2, 0.2, 0.0), (4, 1.0, 1.0, 0.0)], "k int, px double, py double, pz double")
@@ -185,7 +185,7 @@ def _plates() -> M.Mesh:
     return M.append(low, M.Mesh(up.x * (0.5, 0.5, 1) + (0, 0, 0.5), up.f))
 
 
-@query("SELECT * FROM (VALUES ('plates', 0.25, true), ('sphere', 0.5, true)) t(mesh_id, expected, near)")
+@query("SELECT mesh_id, expected::DOUBLE AS expected, near FROM (VALUES ('plates', 0.25, true), ('sphere', 0.5, true)) t(mesh_id, expected, near)")
 def undercut_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From above a sphere hides half of itself; a floating plate hides its footprint."""
 
@@ -215,7 +215,7 @@ def insertion_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_mesh(*tables(spark, {"frustum": m}), kernel, "no_worse boolean, clean boolean, within boolean")
 
 
-@query("SELECT 0.8 AS least, 0.8 AS along, true AS median_ge_least")
+@query("SELECT 0.8::DOUBLE AS least, 0.8::DOUBLE AS along, true AS median_ge_least")
 def wall_thickness_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(name: str, m: M.Mesh) -> pd.DataFrame:
         w = rays.wall_thickness(m)
@@ -298,7 +298,7 @@ def isosurface_torus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_mesh(*tables(spark, {"any": M.grid(1, 1)}), kernel, "genus int, loops int")
 
 
-@query("SELECT 23.0 AS textbook, 60 AS cuts_equal, 40 AS expansions_ok, true AS start_kept")
+@query("SELECT 23.0::DOUBLE AS textbook, 60 AS cuts_equal, 40 AS expansions_ok, true AS start_kept")
 def graph_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flow equals the least of all cuts; expansion moves never raise the energy and stay within twice the optimum."""
 
