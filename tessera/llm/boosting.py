@@ -15,11 +15,12 @@ class Boosted:
     def __init__(self, trees: int = 120, depth: int = 3, rate: float = 0.1, l2: float = 1.0, bins: int = 64, least_hessian: float = 1.0):
         self.trees, self.depth, self.rate, self.l2, self.bins, self.least = trees, depth, rate, l2, bins, least_hessian
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Boosted:
         n, d = x.shape
+        weight = np.ones(n) if weight is None else weight
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, self.bins + 1)[1:-1])) for j in range(d)]
         binned = np.stack([np.searchsorted(e, x[:, j], side="left") for j, e in enumerate(self.edges)], axis=1)
-        p = np.clip(y.mean() if n else 0.5, 1e-3, 1 - 1e-3)
+        p = np.clip(np.average(y, weights=weight) if n else 0.5, 1e-3, 1 - 1e-3)
         self.base = float(np.log(p / (1 - p)))
         inner = (1 << self.depth) - 1
         self.feature = np.zeros((self.trees, inner), np.int64)
@@ -28,7 +29,7 @@ class Boosted:
         f = np.full(n, self.base)
         for t in range(self.trees):
             q = _sigmoid(f)
-            g, h = q - y, np.maximum(q * (1 - q), 1e-9)
+            g, h = weight * (q - y), weight * np.maximum(q * (1 - q), 1e-9)
             at = np.zeros(n, np.int64)
             for level in range(self.depth):
                 first, count = (1 << level) - 1, 1 << level
@@ -70,17 +71,18 @@ class Boosted:
 class Isotonic:
     """Non-decreasing least-squares fit by pooling adjacent violators, linear between block means."""
 
-    def fit(self, score: np.ndarray, y: np.ndarray) -> Isotonic:
+    def fit(self, score: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Isotonic:
+        weight = np.ones(len(y)) if weight is None else weight
         order = np.argsort(score, kind="stable")
         blocks: list[list[float]] = []  # sum of scores, sum of labels, weight
-        for s, v in zip(score[order], y[order], strict=True):
-            blocks.append([float(s), float(v), 1.0])
+        for s, v, w in zip(score[order], y[order], weight[order], strict=True):
+            blocks.append([float(s * w), float(v * w), float(w)])
             while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
         self.x = np.array([b[0] / b[2] for b in blocks])
         # one pseudo row at the overall rate in each block keeps end blocks off 0 and 1
-        rate = float(y.mean())
+        rate = float(np.average(y, weights=weight))
         self.y = np.maximum.accumulate([(b[1] + rate) / (b[2] + 1) for b in blocks])
         return self
 

@@ -1,7 +1,9 @@
 """Toxicity: boosted trees over dense features, with isotonic calibration.
 
 Training uses a bounded sample of labelled rows: at most ``max_per_class`` of either label, those
-with the smallest hash of their id. Everything else reads whole texts of all rows.
+with the smallest hash of their id. Trees and calibration weight a sampled row by its label's count
+over its sampled count, so that scores keep to the labels' own balance at every size. Everything
+else reads whole texts of all rows.
 
 The lexicon is learned: words, and word beginnings of 4 to 6 bytes, that occur in far more toxic
 than other documents of the sample. Two halves are made by hash; a half's features use the lexicon
@@ -141,10 +143,14 @@ def features(t: Text, lexicon: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
 _PERSON = _word_hash(SECOND_PERSON)
 
 
+def _labelled(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("id").alias("_tx_id"), F.col("y").cast("int").alias("_tx_y")).where("_tx_y in (0, 1) and _tx_id is not null").distinct()
+
+
 def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_per_class: int) -> DataFrame:
     """At most ``max_per_class`` labelled rows of either class: id, t, y, half."""
     h = F.xxhash64(F.col("_tx_id").cast("string"), F.lit(11))
-    rows = labels.select(F.col("id").alias("_tx_id"), F.col("y").cast("int").alias("_tx_y")).where("_tx_y in (0, 1) and _tx_id is not null").distinct()
+    rows = _labelled(labels)
     few = [rows.where(F.col("_tx_y") == y).orderBy(h, "_tx_id").limit(max_per_class) for y in (0, 1)]
     few = few[0].union(few[1])
     return df.join(F.broadcast(few), F.col(f"`{id_col}`") == F.col("_tx_id")).select(F.col("_tx_id").alias("id"), F.col(f"`{text_col}`").alias("t"), F.col("_tx_y").alias("y"), F.pmod(F.shiftright(h, 7), F.lit(2)).cast("int").alias("half"))
@@ -211,7 +217,9 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     sample = materialise(_sample(df, labels, id_col, text_col, max_per_class), "labelled")
     totals = {(r["y"], r["half"]): r["n"] for r in sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
     n1, n0 = (sum(n for (y, _), n in totals.items() if y == k) for k in (1, 0))
-    rate = (n1 + 1) / (n1 + n0 + 2)
+    share = {r["_tx_y"]: max(1.0, r["n"] / max_per_class) for r in _labelled(labels).groupBy("_tx_y").agg(F.count("*").alias("n")).collect()}
+    w1, w0 = share.get(1, 1.0), share.get(0, 1.0)
+    rate = (w1 * n1 + 1) / (w1 * n1 + w0 * n0 + 2)
     empty = (np.zeros(0, np.uint64), np.zeros(0))
     if not n1 or not n0:
         return Model(empty, None, None, rate)
@@ -226,11 +234,13 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
 
     rows = sample.mapInArrow(run, "id string, y int, x array<double>").toPandas().sort_values("id", kind="stable")
     x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(dtype=np.float64)
+    weight = np.where(y == 1, w1, w0)
+    weight /= weight.mean()
     fold = np.array([int(mix(np.array([i], np.uint64))[0] % np.uint64(folds)) for i in range(len(y))])
     margin = np.zeros(len(y))
     for k in range(folds):
-        margin[fold == k] = Boosted().fit(x[fold != k], y[fold != k]).margin(x[fold == k])
-    return Model(lexica[2], Boosted().fit(x, y), Isotonic().fit(margin, y), rate)
+        margin[fold == k] = Boosted().fit(x[fold != k], y[fold != k], weight[fold != k]).margin(x[fold == k])
+    return Model(lexica[2], Boosted().fit(x, y, weight), Isotonic().fit(margin, y, weight), rate)
 
 
 def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -61,3 +61,11 @@ def test_trees_and_calibration():
     assert ((m > 0) == (y[1000:] > 0)).mean() > 0.95
     c = Isotonic().fit(np.arange(100.0), (rng.random(100) < np.arange(100) / 100).astype(float))
     assert (np.diff(c(np.linspace(-5, 120, 300))) >= 0).all()
+
+
+def test_a_capped_sample_keeps_the_labels_balance(spark):
+    rows = [(i, prose(1000 + i, 60), "en", "a", None) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 6 == 0)) for i in range(240)], "id long, y int")
+    model = toxicity.fit(frame(spark, rows), labels, max_per_class=40)  # texts tell nothing of their labels
+    got = [r["score"] for r in toxicity.scores(frame(spark, rows), model).collect()]
+    assert 0.08 < np.mean(got) < 0.3
