@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +29,69 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_live: dict[str, SparkSession] = {}  # folders made and not yet deleted
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    """A new folder's path in the shared root. It's deleted by :func:`release`, a scope's or the process's end."""
+    path = f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    if not _live:
+        atexit.register(_delete, _live)
+    _live[path] = spark
+    return path
+
+
+def _delete(paths: dict[str, SparkSession] | list[str]) -> None:
+    for path in list(paths):
+        spark = _live.pop(path, None)
+        if spark is None:
+            continue
+        try:
+            context = spark.sparkContext
+            where = context._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  a session that has ended leaves its folders to whoever owns the root
+            continue
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing will read again."""
+    _delete([p for t in tables if (p := t.__dict__.get("_tessera_path"))])
+
+
+@contextmanager
+def scope() -> Iterator[list[DataFrame]]:
+    """Delete what was materialised inside when the block ends or fails, but for the tables put in the list."""
+    before, kept = set(_live), []
+    try:
+        yield kept
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        stay = before | {t.__dict__.get("_tessera_path") for t in kept}
+        _delete([p for p in _live if p not in stay])
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends at replicated files."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write ``df`` to the shared folder and read it back: the lineage ends at replicated files.
+
+    The job is named in the web page, and its shuffle files go when it has been written.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    cleanup = spark.conf.get(_SHUFFLE_CLEANUP, "false")
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    spark.sparkContext.setJobDescription(name)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_SHUFFLE_CLEANUP, cleanup)
+        spark.sparkContext.setJobDescription(None)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_tessera_path"] = path
+    return out
 
 
 def same_but_unplaced(key: Column, kind: str) -> Column:
@@ -79,7 +135,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         large = large.where("u <> v")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = lookup(large, low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        e = materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, e = e, materialise(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last)
         now = _mark(e)
         if now == seen:
             break

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, release
 from .textnum import LOWER, bytes_of, mix, slices, trimmed, word_hashes, words
 
 BLOCK = 512
@@ -244,6 +244,7 @@ def fit(docs: DataFrame, benchmark: list[tuple[int, str | None]], bits: int = 14
         basis, _ = np.linalg.qr(_products(passages, idf, basis))
         basis = basis.astype(np.float32)
     m = _products(passages, idf, basis)
+    release(passages)
     values, turn = np.linalg.eigh((basis.T @ m).astype(np.float64))
     top = np.argsort(values)[::-1][:rank]
     projection = (idf[:, None] * (basis @ turn[:, top])).astype(np.float32)

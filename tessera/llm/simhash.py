@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, lookup, materialise, maybe_in
+from .common import components, lookup, materialise, maybe_in, scope
 
 _TABLE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise, maybe_in
+from .common import lookup, materialise, maybe_in, release, scope
 from .textnum import Prefix, byte_values, bytes_of, runs_inside, sliding_min, slices
 
 LENGTH, GRAM = 400, 200
@@ -341,7 +341,9 @@ def _window_rows(bounds: DataFrame) -> DataFrame:
 
 def spans(docs: DataFrame, max_filter_bytes: int = 64 << 20, per_range: int = 20_000, sample_rows: int = 20_000) -> DataFrame:
     """Covered pieces of texts (id, th, start, end), not yet joined; ``docs``: id, th, t."""
-    hits = materialise(_hits(docs, _bitmap(materialise(_grams(docs), "grams"), max_filter_bytes)), "hits")
+    grams = materialise(_grams(docs), "grams")
+    hits = materialise(_hits(docs, _bitmap(grams, max_filter_bytes)), "hits")
+    release(grams)
     classes = materialise(hits.groupBy("cid", "g", "before", "behind").agg(F.count("*").alias("n")), "classes")
     several = materialise(classes.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"), "several")
     distinct = materialise(_contexts(docs, _bitmap(several, max_filter_bytes)), "contexts")
@@ -376,7 +378,9 @@ def joined(pieces: np.ndarray) -> np.ndarray:
 def removed_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
     """id, th, t and ``pieces``, the covered pieces in bytes, of every row; only covered texts shuffle."""
     docs = _ids(df, id_col, text_col)
-    found = materialise(spans(docs, **limits).distinct(), "pieces")
+    with scope() as kept:
+        found = materialise(spans(docs, **limits).distinct(), "pieces")
+        kept.append(found)
     pieces = found.groupBy(F.col("id").alias("i2"), F.col("th").alias("h2")).agg(F.collect_list(F.struct("start", "end")).alias("pieces"))
     tested = maybe_in(docs, "th", found.select("th"))
     none = F.lit(None).cast("array<struct<start: bigint, end: bigint>>")

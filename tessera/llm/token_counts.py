@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_path
+from .common import materialise, release, shared_path
 from .packing import load_ids, production
 from .textnum import bytes_of, words
 
@@ -136,4 +136,5 @@ def query(spark, sf_dir: str) -> DataFrame:
     revised = changes(known.where("poor IS NULL"), "revise", [("byte_bpe_50k@1", "n_ids_squeezed", "n_ids")])
     ledger.apply("squeeze", revised)
     ledger.apply("squeeze", revised)
+    release(known)
     return ledger.totals()

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lookup, materialise
+from .common import lookup, materialise, release
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEPTH, CHILDREN, Z, PRIOR, PURITY = 6, 8, 1.96, 20.0, 0.5
@@ -58,11 +58,13 @@ def templates(rows: DataFrame, max_depth: int = DEPTH, max_children: int = CHILD
     cut = F.filter(F.split("shape", "/"), lambda s: s != "")
     t = materialise(shapes.select("host", "shape", "lab", "bad", cut.alias("segs"), F.lit("").alias("tmpl")), "shapes")
     for d in range(max_depth):
+        whole = t
         t = t.withColumns({"seg": F.get("segs", F.lit(d)), "parent": _key("host", "tmpl")})
         wide = t.where("seg is not null").groupBy("parent", "seg").agg(F.lit(1)).groupBy("parent").agg(F.count("*").alias("kids")).where(F.col("kids") > max_children)
         t = lookup(t, wide, "parent", "left")
         step = F.when(F.col("seg").isNull(), F.col("tmpl")).otherwise(F.concat("tmpl", F.lit("/"), F.when(F.col("kids").isNull(), F.col("seg")).otherwise("*")))
-        t = materialise(t.select("host", "shape", "lab", "bad", "segs", step.alias("tmpl")), "tree")
+        last, t = whole, materialise(t.select("host", "shape", "lab", "bad", "segs", step.alias("tmpl")), "tree")
+        release(last)
     deep = F.when(F.size("segs") > max_depth, F.concat("tmpl", F.lit("/**"))).otherwise(F.col("tmpl"))
     t = t.select("host", "shape", "lab", "bad", deep.alias("tmpl"))
     t = materialise(t.withColumns({"branch": _key("host", "tmpl"), "family": _key("host", F.regexp_replace("tmpl", r"^/[^/]*", "/+"))}), "branches")
