@@ -11,6 +11,13 @@ bits flipped, and two fingerprints at distance 1 or 2 share such an entry. An en
 65 members, and sharing an entry means a distance of at most 2, so no links are lost or added.
 (This second way is for ``max_bits`` = 2, and each flip stands for one bit of either side.)
 
+:func:`near_dedup` links texts of similarity 0.8 (Jaccard, five-word shingles), at which a 64-bit
+fingerprint differs in about ten bits, too many for blocks of it to select. Its fingerprints are
+therefore as long as the text asks for: a text's shingles are dealt by hash into parts, and each
+part's SimHash is a block. There are more parts than shingles in which two such texts can differ (or,
+for long texts, enough), so close pairs share a block; they are joined on blocks, their 64-bit
+SimHashes held against a Hamming distance, and what is left compared as sets.
+
 Defined cases: null text is empty; texts without words get fingerprint zero and link like others;
 repeated rows and exact copies share a fingerprint and so a component; null ids are left out of
 the choice of the smallest id. Empty tables give empty results; extra columns are ignored.
@@ -19,6 +26,7 @@ the choice of the smallest id. Empty tables give empty results; extra columns ar
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -28,7 +36,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, lookup, materialise, maybe_in, scope
+from .pairwise import blocks, compared
+from .textnum import LOWER, Prefix, bytes_of, mix, slices, word_hashes, words
 
+SURE = 12
 _TABLE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -98,12 +109,155 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lookup(fps, named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
+@lru_cache(maxsize=256)
+def part_count(largest: int) -> int:
+    """Parts for texts of up to ``largest`` shingles.
+
+    At similarity 0.8 two sets differ in at most (|A| + |B|) / 9 shingles. One part more than that
+    and some part is equal for sure. Long texts get fewer parts: as many as leave ``SURE`` equal parts
+    to be expected, so that all differ with a probability of about exp(-SURE).
+    """
+    differ, n = 2 * largest // 9, 1
+    while n <= differ and n * np.exp(-differ / n) < SURE:
+        n += max(1, n // 64)
+    return int(min(n, differ + 1))
+
+
+def prints(raw: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For a slice of texts: digest of the shingle set, SimHash, offsets of the sorted distinct shingles, those, offsets of keys, keys.
+
+    A key is the SimHash of the shingles of one part of the text's set, with the part's number and
+    the class of sizes that fixes the number of parts. Texts within a quarter of the next class's
+    sizes have keys of that class too.
+    """
+    s, e, rows = words(raw, off)
+    h = Prefix(word_hashes(LOWER[raw], s, e) | np.uint64(1)) if len(raw) else Prefix(np.zeros(0, np.uint64))
+    count = np.diff(rows)
+    n = np.where(count >= size, count - size + 1, np.minimum(count, 1))
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + rows[row]
+    sh = h.span(at, np.minimum(at + size, rows[row + 1]))
+    order = np.lexsort((sh, row))
+    sh, row = sh[order], row[order]
+    new = np.ones(len(sh), bool)
+    new[1:] = (sh[1:] != sh[:-1]) | (row[1:] != row[:-1])
+    sh, row = sh[new], row[new]
+    bounds = np.searchsorted(row, np.arange(len(n) + 1))
+    total = Prefix(sh | np.uint64(1)).span(bounds[:-1], bounds[1:])
+    largest = np.diff(bounds)
+    kind = np.frexp(np.maximum(largest, 1))[1]  # sizes from 2^(kind - 1) to 2^kind - 1
+    both = 5 * largest >= 4 << kind
+    texts = np.concatenate([np.arange(len(n)), np.flatnonzero(both)])
+    kinds = np.concatenate([kind, kind[both] + 1])
+    parts = np.array([part_count(1 << k) for k in range(int(kinds.max(initial=0)) + 1)])[kinds] if len(kinds) else kinds
+    m = largest[texts]
+    own = np.repeat(np.arange(len(texts)), m)
+    of = np.arange(len(own)) - np.repeat(np.cumsum(m) - m, m) + bounds[texts][own]
+    part = own * (1 << 40) + (mix(sh[of]) % parts[own].astype(np.uint64)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    first = np.ones(len(part), bool)
+    first[1:] = part[1:] != part[:-1]
+    start = np.flatnonzero(first)
+    owner = part[start] >> 40
+    keys = mix(_majority(sh[of[order]], start) + mix((part[start] & ((1 << 40) - 1)).astype(np.uint64) * np.uint64(64) + kinds[owner].astype(np.uint64)))
+    by_text = np.argsort(texts[owner], kind="stable")
+    return total, _majority(sh, bounds[:-1]), bounds, sh, np.searchsorted(texts[owner][by_text], np.arange(len(n) + 1)), keys[by_text]
+
+
+def _majority(h: np.ndarray, start: np.ndarray, most: int = 1 << 16) -> np.ndarray:
+    """SimHashes of the runs of hashes that begin at ``start`` (zero for empty ones), in pieces of ``most`` hashes."""
+    end = np.append(start[1:], len(h))
+    ones = np.zeros((len(start), 64), np.int32)
+    full = np.flatnonzero(end > start)
+    for a in range(0, len(h), most):
+        piece = h[a : a + most]
+        i = full[np.searchsorted(end[full], a, "right") : np.searchsorted(start[full], a + len(piece))]
+        bits = np.unpackbits(np.ascontiguousarray(piece).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones[i] += np.add.reduceat(bits, np.maximum(start[i] - a, 0), axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > (end - start)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def _part_links(nodes: DataFrame, max_bits: int, bucket_cap: int) -> DataFrame:
+    """Pairs (u, v) of nodes (id, fp, keys) that share a part and whose SimHashes are within ``max_bits``."""
+    keyed = nodes.select("id", "fp", F.explode("keys").alias("key"))
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "parts")
+    tested = maybe_in(keyed, "key", sizes.select("key")).where("_mb_maybe").drop("_mb_maybe")
+    shared = materialise(lookup(tested, sizes, "key"), "shared parts")
+    few = shared.where(F.col("n") <= bucket_cap)
+    a, b = few.select("key", F.col("fp").alias("fa"), F.col("id").alias("u")), few.select("key", F.col("fp").alias("fb"), F.col("id").alias("v"))
+    pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & _near(F.col("fa"), F.col("fb"), max_bits)).select("u", "v")
+    led = shared.where((F.col("n") > bucket_cap) & (F.col("id") != F.col("first"))).select(F.col("first").alias("u"), F.col("id").alias("v"))
+    return pairs.union(led).distinct()
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, max_bits: int = 24, bucket_cap: int = 64) -> DataFrame:
+    """One row per row of ``df``: id, component_id (smallest id reachable by links of ``similarity`` or more).
+
+    Similarity is Jaccard's, of the sets of ``size``-word shingles. It must be 0.8 or more, which the
+    number of parts stands for. Texts of equal sets are one node. Links come from equal parts; pairs
+    whose SimHashes differ in more than ``max_bits`` of 64 bits are left out (about 10 are expected at
+    0.8, and 24 are five standard deviations more), the others are compared as whole sets. A part
+    that more than ``bucket_cap`` nodes share links them to the smallest of them only: two that are
+    like each other but not like it are found through the other parts they share.
+    """
+    if similarity < 0.8:
+        raise ValueError("parts are numbered for similarities of 0.8 and more")
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    kind = docs.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "t"):
+                total, fp, _, _, at, keys = prints(*bytes_of(b.column(1)), size)
+                lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total.view(np.int64)), pa.array(fp.view(np.int64)), lists], names=["id", "sid", "fp", "keys"])
+
+    rows = materialise(docs.mapInArrow(run, f"id {kind}, sid bigint, fp bigint, keys array<bigint>"), "prints")
+    named = rows.select("id", "sid")
+    owners = materialise(named.groupBy("sid").agg(F.min("id").alias("id")), "nodes")
+    with scope() as kept:
+        # of equal sets only the smallest id's row lists its parts
+        nodes = rows.withColumnRenamed("sid", "of").join(owners.where("id IS NOT NULL").withColumnRenamed("id", "own"), (F.col("of") == F.col("sid")) & (F.col("id") == F.col("own"))).select(F.col("id").cast("bigint").alias("id"), "fp", "keys").dropDuplicates(["id"])
+        pairs = materialise(blocks(_part_links(materialise(nodes, "parts of nodes"), max_bits, bucket_cap).select(F.col("u").alias("a"), F.lit(0).alias("ca"), F.col("v").alias("b"), F.lit(0).alias("cb"))), "pairs")
+        ends = materialise(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct(), "ends")
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for b in slices(batch, "t"):
+                    _, _, at, sh, _, _ = prints(*bytes_of(b.column(1)), size)
+                    each = [np.sort(sh[x:y].astype(np.uint32)).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(each), np.int32)), pa.array(np.zeros(len(each), np.int32)), pa.array(each, pa.binary())], names=["tid", "cell", "start", "sh"])
+
+        some = maybe_in(docs.withColumn("e", F.xxhash64("id")), "e", ends.select(F.xxhash64(F.col("e").cast(kind)).alias("e"))).where("_mb_maybe").select(F.col("id").cast("bigint").alias("id"), "t")
+        cells = some.mapInArrow(sets, "tid bigint, cell int, start int, sh binary").dropDuplicates(["tid"])
+
+        def alike(a: tuple, others: list[tuple]) -> list[tuple]:
+            out = []
+            for b in others:
+                x, y = (a[3], b[3]) if len(a[3]) < len(b[3]) else (b[3], a[3])
+                if len(x) < similarity * len(y):
+                    continue
+                both = int((y[np.minimum(y.searchsorted(x), len(y) - 1)] == x).sum())
+                if both >= similarity * (len(x) + len(y) - both):
+                    out.append((a[0], b[0]))
+            return out
+
+        links = materialise(compared(pairs, cells, alike, "u bigint, v bigint"), "links")
+        comp = components(links)
+        path = materialise(comp, "components")
+        kept.append(path)
+    table = owners.join(path, F.col("id").cast("bigint") == F.col("node"), "left").select("sid", F.coalesce(F.col("component").cast(kind), F.col("id")).alias("component_id"))
+    return lookup(named, table, "sid").select(F.col("id").alias(id_col), "component_id")
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of its group, with all their columns (null ids stay).
 
-    Rows that surely stay don't shuffle; names starting with ``_sh_`` and ``_mb_`` are reserved.
+    Groups are those of :func:`similar_groups`. Rows that surely stay don't shuffle; names starting
+    with ``_sh_`` and ``_mb_`` are reserved.
     """
-    groups = simhash_groups(df, id_col, text_col, max_bits)
+    groups = similar_groups(df, id_col, text_col, size, similarity)
     gone = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_sh_drop")).distinct(), "dropped")
     tested = maybe_in(df.withColumn("_sh_key", F.xxhash64(f"`{id_col}`")), "_sh_key", gone.select(F.xxhash64("_sh_drop").alias("_sh_key")))
     rest = tested.where("_mb_maybe").join(gone, F.col(f"`{id_col}`") == F.col("_sh_drop"), "left_anti")

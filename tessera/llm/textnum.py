@@ -7,6 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  used as pa.compute
 
 #: A-Z to a-z on bytes; every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.llm import simhash
 from tessera.llm.common import components
 
-from .data import awkward, frame
+from .data import awkward, frame, prose
 
 
 def slow_fingerprint(t):
@@ -52,6 +52,58 @@ def test_components_against_brute_force_also_in_large_blocks(spark):
         assert [got.get(i, i) for i in range(len(fps))] == want
 
 
+def near_classes(rows, size=5, similarity=0.8):
+    """id -> smallest id reachable by links of Jaccard similarity, by comparing all pairs."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset([b" ".join(w)] if 0 < len(w) < size else (b" ".join(w[i : i + size]) for i in range(len(w) - size + 1))))
+    links = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or len(a & b) >= similarity * len(a | b)]
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0])
+    place = {i: k for k, i in enumerate(order)}
+    roots = union_find(len(rows), [(place[i], place[j]) for i, j in links])
+    return {rows[i][0]: rows[order[roots[place[i]]]][0] for i in range(len(rows))}
+
+
+def edited(text, r, share):
+    w = text.split()
+    for at in r.sample(range(len(w)), max(1, round(share * len(w)))):
+        w[at] = "".join(r.choice("klmnop") for _ in range(5))
+    return " ".join(w)
+
+
+def test_similar_groups_against_all_pairs(spark):
+    r = random.Random(8)
+    rows = []
+    for k in range(60):
+        base = prose(4000 + k, r.choice([3, 6, 12, 30, 60, 120, 250, 600, 1500]))
+        for share in (0.0, 0.005, 0.01, 0.02, 0.03):
+            rows.append((len(rows), edited(base, r, share) if share else base, "en", "a", 1))
+    rows.append((len(rows), rows[40][1].upper(), "en", "a", 1))
+    want = near_classes([(i, t) for i, t, *_ in rows])
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows)).collect()}
+    assert got == want
+    assert len(set(want.values())) < len(rows) - 60
+
+
+def test_a_large_group_of_near_copies_is_one_class(spark):
+    r = random.Random(9)
+    base = prose(77, 300)
+    rows = [(i, edited(base, r, 0.005), "en", "a", 1) for i in range(40)] + [(100 + i, prose(200 + i, 90), "en", "a", 1) for i in range(5)]
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows), bucket_cap=4).collect()}
+    assert got == near_classes([(i, t) for i, t, *_ in rows])
+
+
+def test_majority_in_pieces():
+    import numpy as np
+
+    h = np.random.default_rng(4).integers(0, 1 << 63, 1000, dtype=np.uint64)
+    start = np.array([0, 0, 10, 400, 999, 1000])
+    assert (simhash._majority(h, start, 64) == simhash._majority(h, start)).all()
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[i:j]) > j - i) for i, j in zip(start, [*start[1:], 1000], strict=True)]
+    assert simhash._majority(h, start).tolist() == want
+
+
 def test_near_dedup_keeps_one_of_each_group(spark):
     df = frame(spark)
     got = simhash.near_dedup(df)
