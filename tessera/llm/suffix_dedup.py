@@ -45,6 +45,7 @@ LENGTH, GRAM = 400, 200
 REACH = LENGTH - GRAM  # bytes before an anchor that a window can hold
 PAD = 0xFF
 BITS = 32768
+WINDOW_ROWS = 4096  # windows in a batch, about 2 MB
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -327,14 +328,26 @@ def _window_rows(bounds: DataFrame) -> DataFrame:
     """The windows of contexts between their bounds: cid, o, and the window with its gram and offset.
 
     Equal windows have equal anchors at equal offsets. Keyed by all three, a window that two anchors
-    of one text both hold isn't taken for two places.
+    of one text both hold isn't taken for two places. A context has up to 201 windows; batches go
+    out at ``WINDOW_ROWS``, so that a worker never holds the windows of all contexts it was sent.
     """
 
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        c, o, n, w = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(o, pa.int32()), pa.array(n, pa.int64()), pa.array(w, pa.binary())], names=["cid", "o", "n", "win"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(c, o, n, x[REACH - o : REACH - o + LENGTH] + b"%d:%d" % (g, o)) for c, x, l, r, g, n in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True) for o in range(max(0, LENGTH - r), l + 1)]
-            c, o, n, w = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()), pa.array(o, pa.int32()), pa.array(n, pa.int64()), pa.array(w, pa.binary())], names=["cid", "o", "n", "win"])
+        for batch in batches:
+            rows: list[tuple] = []
+            for start in range(0, batch.num_rows, 512):
+                b = batch.slice(start, 512)
+                for c, x, l, r, g, n in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                    rows += [(c, o, n, x[REACH - o : REACH - o + LENGTH] + b"%d:%d" % (g, o)) for o in range(max(0, LENGTH - r), l + 1)]
+                    if len(rows) >= WINDOW_ROWS:
+                        yield batch_of(rows)
+                        rows = []
+            if rows:
+                yield batch_of(rows)
 
     return bounds.select("cid", "ctx", "l", "r", "g", "n").mapInArrow(run, "cid binary, o int, n bigint, win binary")
 
