@@ -1,19 +1,13 @@
-"""Intraoral scans: fields on one mesh, cusp detection, margin labelling."""
+"""Intraoral scans: fields on one mesh and cusp detection."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
 import numpy as np
 
 from tessera.sources.meshes import Mesh
 
-from .cuts import MaxFlow, alpha_expansion
 from .linear import conjugate_gradient
-from .surface import Intrinsic, Operators, adjacency, component_labels, dijkstra, edges_of
-
-HARD, FLOOR = 1e12, 1e-6
+from .surface import Intrinsic, Operators, component_labels, edges_of
 
 
 def pick(values: np.ndarray, q: float) -> float:
@@ -21,8 +15,8 @@ def pick(values: np.ndarray, q: float) -> float:
     return float(np.sort(values)[int(q * (len(values) - 1))]) if len(values) else 0.0
 
 
-def curvatures(m: Mesh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(mean, k1, k2) per vertex with mixed areas; NaN on boundaries and where the area is zero."""
+def mean_and_gauss(m: Mesh) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and Gaussian curvature per vertex with mixed areas; NaN on boundaries and where the area is zero."""
     n, p = len(m.x), m.x[m.f]
     area = np.linalg.norm(np.cross(p[:, 1] - p[:, 0], p[:, 2] - p[:, 0]), axis=1) / 2
     ang, cot = np.zeros((len(m.f), 3)), np.zeros((len(m.f), 3))
@@ -49,9 +43,15 @@ def curvatures(m: Mesh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     size = np.linalg.norm(normal, axis=1)
     a = np.where(inner, mixed, 1)
     mean = np.where(size > 0, (pull * normal).sum(1) / np.where(size > 0, size, 1), 0) / (4 * a)
-    root = np.sqrt(np.maximum(mean**2 - (2 * np.pi - turn) / a, 0))
     nan = np.where(inner, 0, np.nan)
-    return mean + nan, mean + root + nan, mean - root + nan
+    return mean + nan, (2 * np.pi - turn) / a + nan
+
+
+def curvatures(m: Mesh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, k1, k2) per vertex, with NaN as :func:`mean_and_gauss` has it."""
+    mean, gauss = mean_and_gauss(m)
+    root = np.sqrt(np.maximum(mean**2 - gauss, 0))
+    return mean, mean + root, mean - root
 
 
 def intrinsic_curvatures(m: Mesh) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,243 +155,3 @@ def cusps(m: Mesh, method: str = "prominence", sigma: float = 0.5, radius: float
     score = np.where(gate, score, -np.inf)
     kept = suppress(m.x, local_maxima(m, score, threshold), score, nms)
     return kept, score[kept]
-
-
-@dataclass
-class MarginParams:
-    """The operating point; ``method``: plane, voronoi, graph_cut or per_tooth."""
-
-    method: str = "per_tooth"
-    valley_weight: float = 2560.0
-    sigma: float = 0.0
-    gingiva_q: float = 0.15
-    tooth_q: float = 1.0
-    mu: float = 1000.0
-    beta: float = 300.0
-    tau: float = -1.25
-    sweeps: int = 3
-    label_radius: float = 15.0
-    expansion_radius: float = 3.0
-    min_area: float = 0.0
-    seed_model: Callable | None = None
-    vertex_model: Callable | None = None
-
-
-@dataclass
-class Inputs:
-    """What all methods share on one scan."""
-
-    mesh: Mesh
-    axis: np.ndarray
-    arch: np.ndarray
-    height: np.ndarray
-    cut: np.ndarray
-    kmin: np.ndarray
-    ops: Operators
-    tips: np.ndarray
-    edges: tuple = field(default_factory=tuple)
-
-
-def margin_inputs(m: Mesh, with_cusps: bool = True, axis: np.ndarray | None = None, **cusp) -> Inputs:
-    arch = largest_component(m)
-    axis = occlusal_axis(m, arch) if axis is None else axis
-    t = Intrinsic(m)
-    rim = np.zeros(len(m.x), bool)
-    rim[t.origin[t.twin < 0]] = True
-    kmin = np.nan_to_num(curvatures(m)[2])
-    tips = cusps(m, axis=axis, **cusp)[0] if with_cusps else np.zeros(0, np.int64)
-    return Inputs(m, axis, arch, m.x @ axis, rim & arch, kmin, Operators(t), tips, edges_of(m))
-
-
-def _seeds(i: Inputs, p: MarginParams) -> np.ndarray:
-    """-1 open, 0 gum, 1 tooth; the cut overrides heights and tips override the cut."""
-    h = i.height[i.arch]
-    out = np.full(len(i.height), -1)
-    out[i.arch & (i.height <= pick(h, p.gingiva_q))] = 0
-    if p.tooth_q < 1:
-        out[i.arch & (i.height >= pick(h, p.tooth_q))] = 1
-    out[i.cut] = 0
-    for k in i.tips.tolist():
-        if p.seed_model is None or p.seed_model(k):
-            out[k] = 1
-    return out
-
-
-def _fields(i: Inputs, valley: np.ndarray, p: MarginParams, seeds: np.ndarray):
-    u, v, length = i.edges
-    graph = adjacency(len(i.height), u, v, length * (1 + p.valley_weight * (valley[u] + valley[v]) / 2))
-    gum = dijkstra(len(i.height), graph, np.flatnonzero(seeds == 0).tolist(), allowed=i.arch)[0]
-    tooth = dijkstra(len(i.height), graph, np.flatnonzero(seeds == 1).tolist(), allowed=i.arch)[0]
-    return graph, gum, tooth
-
-
-def _pair_weights(i: Inputs, valley: np.ndarray, p: MarginParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interior arch edges with their dual length, made cheap along valleys."""
-    o = i.ops
-    length = np.linalg.norm(i.mesh.x[o.u] - i.mesh.x[o.v], axis=1)
-    dual = np.maximum(o.star1, 0) * length
-    keep = i.arch[o.u] & i.arch[o.v] & (dual > 0)
-    w = p.mu * dual / (1 + p.beta * (valley[o.u] + valley[o.v]) / 2)
-    return o.u[keep], o.v[keep], w[keep]
-
-
-def _binary_cut(i: Inputs, valley: np.ndarray, p: MarginParams, seeds: np.ndarray, gum: np.ndarray, tooth: np.ndarray) -> np.ndarray:
-    both = gum + tooth
-    # equal distances say nothing; an unreachable side decides for the other
-    prob = np.where(np.isinf(gum) & np.isinf(tooth), 0.5, np.where(np.isinf(gum), 1.0, np.where(np.isinf(tooth), 0.0, np.where(both > 0, gum / np.where(both > 0, both, 1), 0.5))))
-    if p.vertex_model is not None:
-        prob = p.vertex_model(prob)
-    area = i.ops.star0
-    g = MaxFlow(len(gum))
-    for v in np.flatnonzero(i.arch).tolist():
-        if seeds[v] >= 0:
-            g.add_terminal(v, HARD * (seeds[v] == 1), HARD * (seeds[v] == 0))
-        else:
-            g.add_terminal(v, -area[v] * np.log(max(1 - prob[v], FLOOR)), -area[v] * np.log(max(prob[v], FLOOR)))
-    for a, b, w in zip(*(x.tolist() for x in _pair_weights(i, valley, p)), strict=True):
-        g.add_edge(a, b, w, w)
-    g.solve()
-    return g.source_side() & i.arch
-
-
-def group_tips(m: Mesh, tips: np.ndarray, region: np.ndarray, kmin: np.ndarray, tau: float) -> np.ndarray:
-    """Tips joined by paths through the region above curvature tau share a group; -1 outside it."""
-    u, v, _ = edges_of(m)
-    ok = region & (kmin > tau)
-    e = ok[u] & ok[v]
-    label = component_labels(len(m.x), u[e], v[e])
-    seen: dict[int, int] = {}
-    return np.array([seen.setdefault(int(label[t]), len(seen)) if ok[t] else -1 for t in tips.tolist()], np.int64)
-
-
-def margin_labels(i: Inputs, p: MarginParams) -> np.ndarray:
-    """0 gum, 1.. teeth (a single label 1 for the binary methods)."""
-    if p.method == "plane":
-        return (i.arch & (i.height >= pick(i.height[i.arch], p.tooth_q))).astype(int)
-    valley = np.maximum(0, -diffuse(i.ops, i.kmin, p.sigma)) if p.sigma > 0 else np.maximum(0, -i.kmin)
-    seeds = _seeds(i, p)
-    graph, gum, tooth = _fields(i, valley, p, seeds)
-    if p.method == "voronoi":
-        labels = (i.arch & (tooth < gum)).astype(int)
-    else:
-        labels = _binary_cut(i, valley, p, seeds, gum, tooth).astype(int)
-        if p.method == "per_tooth":
-            labels = _per_tooth(i, valley, p, labels, graph)
-    return drop_small(i, labels, p.min_area) if p.min_area > 0 else labels
-
-
-def _per_tooth(i: Inputs, valley: np.ndarray, p: MarginParams, binary: np.ndarray, graph) -> np.ndarray:
-    group = group_tips(i.mesh, i.tips, binary > 0, i.kmin, p.tau)
-    count = int(group.max(initial=-1)) + 1
-    if count < 2:
-        return binary
-    n = len(binary)
-    near = np.full((n, count), np.inf)
-    for g in range(count):
-        tips = i.tips[group == g]
-        close = i.arch & (np.linalg.norm(i.mesh.x[:, None] - i.mesh.x[tips][None], axis=2).min(1) <= p.label_radius)
-        near[:, g] = dijkstra(n, graph, tips.tolist(), allowed=close)[0]
-    gum = dijkstra(n, graph, np.flatnonzero(_seeds(i, p) == 0).tolist(), allowed=i.arch)[0]
-    d = np.concatenate([gum[:, None], near], axis=1)
-    inverse = 1 / np.maximum(d, 1e-12)
-    share = inverse / np.maximum(inverse.sum(1, keepdims=True), 1e-300)
-    unary = -i.ops.star0[:, None] * np.log(np.maximum(share, FLOOR))
-    seeds = _seeds(i, p)
-    for v in np.flatnonzero(seeds == 0):
-        unary[v] = HARD
-        unary[v, 0] = 0
-    for t, g in zip(i.tips.tolist(), group.tolist(), strict=True):
-        if g >= 0:
-            unary[t] = HARD
-            unary[t, g + 1] = 0
-    unary[~i.arch] = HARD
-    unary[~i.arch, 0] = 0
-    start = np.where(binary > 0, 1 + unary[:, 1:].argmin(1), 0)
-    a, b, w = _pair_weights(i, valley, p)
-    x, r = i.mesh.x, p.expansion_radius
-    cell = np.floor(x / r).astype(np.int64)
-
-    def candidates(alpha: int) -> np.ndarray:
-        """Vertices in or beside a grid cell that holds the label now."""
-        if alpha == 0:
-            return np.ones(n, bool)
-        have = {tuple(c) for c in np.unique(cell[current() == alpha], axis=0).tolist()}
-        wide = {(c[0] + i_, c[1] + j_, c[2] + k_) for c in have for i_ in (-1, 0, 1) for j_ in (-1, 0, 1) for k_ in (-1, 0, 1)}
-        return np.array([tuple(c) in wide for c in cell.tolist()])
-
-    current = lambda: start
-    return alpha_expansion(unary, a, b, w, start, p.sweeps, candidates)
-
-
-def drop_small(i: Inputs, labels: np.ndarray, min_area: float) -> np.ndarray:
-    """Tooth regions with less lumped area become gum."""
-    u, v, _ = i.edges
-    same = (labels[u] > 0) & (labels[u] == labels[v])
-    comp = component_labels(len(labels), u[same], v[same])
-    area = np.bincount(comp, i.ops.star0 * (labels > 0), len(labels))
-    return np.where((labels > 0) & (area[comp] < min_area), 0, labels)
-
-
-def margin_edges(m: Mesh, labels: np.ndarray) -> np.ndarray:
-    u, v, _ = edges_of(m)
-    cut = labels[u] != labels[v]
-    return np.stack([u[cut], v[cut]], axis=1)
-
-
-def compare_boundaries(a: np.ndarray, b: np.ndarray) -> dict[str, float]:
-    """Midpoint sets: ASSD, HD95, F1 at .25 and .5; inf and 0 if either is empty."""
-    if not len(a) or not len(b):
-        return {"assd": np.inf, "hd95": np.inf, "f1_025": 0.0, "f1_050": 0.0}
-    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(2))
-    p, q = d.min(1), d.min(0)
-    f1 = {}
-    for name, t in (("f1_025", 0.25), ("f1_050", 0.5)):
-        precision, recall = (p <= t).mean(), (q <= t).mean()
-        f1[name] = 2 * precision * recall / (precision + recall) if precision + recall > 0 else 0.0
-    return {"assd": float(np.concatenate([p, q]).mean()), "hd95": max(pick(p, 0.95), pick(q, 0.95)), **f1}
-
-
-SEED_FEATURES = ["score", "height_rank", "kmin", "kmax", "mean", "cut_distance"]
-VERTEX_FEATURES = ["gum_share", "log_gum", "log_tooth", "height_rank", "height", "kmin", "kmax", "valley", "log_cut"]
-FAR = 100.0
-
-
-def height_rank(i: Inputs) -> np.ndarray:
-    """Share of the arch's vertices that lie strictly lower."""
-    h = np.sort(i.height[i.arch])
-    return np.searchsorted(h, i.height, side="left") / max(1, len(h))
-
-
-def cut_distance(i: Inputs) -> np.ndarray:
-    """Edge distance to the scan's boundary; 100 where none is reached."""
-    u, v, length = i.edges
-    d = dijkstra(len(i.height), adjacency(len(i.height), u, v, length), np.flatnonzero(i.cut).tolist(), allowed=i.arch)[0]
-    return np.where(np.isfinite(d), d, FAR)
-
-
-def seed_features(i: Inputs, score: np.ndarray) -> np.ndarray:
-    """One row of :data:`SEED_FEATURES` for each tip, given the tips' scores."""
-    mean, kmax, _ = (np.nan_to_num(x) for x in curvatures(i.mesh))
-    smooth = diffuse(i.ops, mean, 0.5)
-    t = i.tips
-    return np.stack([score, height_rank(i)[t], i.kmin[t], kmax[t], smooth[t], cut_distance(i)[t]], axis=1) if len(t) else np.zeros((0, 6))
-
-
-def vertex_features(i: Inputs, p: MarginParams) -> np.ndarray:
-    """One row of :data:`VERTEX_FEATURES` for each vertex; curvatures clamp at 30, heights at 20."""
-    valley = np.maximum(0, -i.kmin)
-    _, gum, tooth = _fields(i, valley, p, _seeds(i, p))
-    log = lambda d: np.log1p(np.where(np.isfinite(d), d, FAR))
-    share = np.where(np.isfinite(gum + tooth), gum / np.maximum(gum + tooth, 1e-12), np.where(np.isfinite(gum), 0.0, 1.0))
-    mid = i.height - np.median(i.height[i.arch]) if i.arch.any() else i.height
-    kmax = np.nan_to_num(curvatures(i.mesh)[1])
-    clamp = lambda x, c: np.clip(x, -c, c)
-    return np.stack([share, log(gum), log(tooth), height_rank(i), clamp(mid, 20), clamp(i.kmin, 30), clamp(kmax, 30), clamp(valley, 30), log(cut_distance(i))], axis=1)
-
-
-def breakdown(m: Mesh, area: np.ndarray, predicted: np.ndarray, truth: np.ndarray) -> dict[str, float]:
-    """Where a labelling errs: areas missed and added, and teeth of which less than half is covered."""
-    p = predicted > 0
-    teeth_ = [k for k in np.unique(truth) if k]
-    covered = [area[(truth == k) & p].sum() / max(area[truth == k].sum(), 1e-300) for k in teeth_]
-    return {"missed_area": float(area[(truth > 0) & ~p].sum()), "added_area": float(area[(truth == 0) & p].sum()), "teeth": len(teeth_), "missed_teeth": int(sum(c < 0.5 for c in covered))}

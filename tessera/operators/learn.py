@@ -28,6 +28,11 @@ class Logistic:
         z = self.score()
         return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))
 
+    def probabilities(self, x: np.ndarray) -> np.ndarray:
+        """The same for the rows of a matrix."""
+        z = ((x - np.array(self.mean)) / np.array(self.scale)) @ np.array(self.weights) + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+
     def to_json(self) -> str:
         return json.dumps({"model": "logistic"} | asdict(self))
 

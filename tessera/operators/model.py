@@ -69,4 +69,6 @@ def per_mesh(vertices: DataFrame, faces: DataFrame, kernel: Callable[[str, Mesh]
         out = kernel(name, Mesh(v[["x", "y", "z"]].to_numpy(), f[["v0", "v1", "v2"]].to_numpy()))
         return out[columns]
 
-    return vertices.groupBy("mesh_id").cogroup(faces.groupBy("mesh_id")).applyInPandas(run, schema)
+    # aliases: tables that come from one table of parameters would share the key's attribute
+    v, f = (t.select(*(F.col(c).alias(c) for c in t.columns)) for t in (vertices, faces))
+    return v.groupBy("mesh_id").cogroup(f.groupBy("mesh_id")).applyInPandas(run, schema)

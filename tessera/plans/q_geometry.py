@@ -76,12 +76,6 @@ def pointwise_curvature(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT .25::DOUBLE AS a0, .25::DOUBLE AS a1, .5::DOUBLE AS a2")
-def obtuse_mixed_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = geometry.curvature(*tables(spark, {"t": M.Mesh([(0, 0, 0), (4, 0, 0), (2, 0.5, 0)], [(0, 1, 2)])}))
-    return c.agg(*(F.max(F.when(F.col("v") == k, F.round("area", 9))).alias(f"a{k}") for k in range(3)))
-
-
 @query(f"WITH {TORUS_SQL} SELECT DISTINCT mesh_id, true AS rows_vanish, true AS symmetric, true AS areas FROM p")
 def laplacian_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L 1 = 0, L = L', and the lumped areas sum to the surface."""
@@ -138,25 +132,6 @@ def _jittered(n: int) -> M.Mesh:
     return g
 
 
-@query("SELECT 128::BIGINT AS n, 2.0::DOUBLE AS gx, (-3.0)::DOUBLE AS gy, 0.0::DOUBLE AS gz, 1::BIGINT AS distinct_gradients")
-def gradient_of_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The face gradient of 2x - 3y + 1 is (2, -3, 0) on every face of a jittered grid."""
-    v, f = tables(spark, {"g": _jittered(8)})
-    g = geometry.face_gradient(v, f, v.select("mesh_id", "v", (2 * F.col("x") - 3 * F.col("y") + 1).alias("u")))
-    g = g.select(*((F.round(c, 9) + 0.0).alias("g" + c) for c in "xyz"))
-    return g.agg(F.count("*").alias("n"), *(F.min("g" + c).alias("g" + c) for c in "xyz"), F.count_distinct("gx", "gy", "gz").alias("distinct_gradients"))
-
-
-@query("SELECT true AS agree, 162::BIGINT AS n")
-def divergence_of_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """div grad u = L u at every vertex of a sphere."""
-    v, f = tables(spark, {"s": M.icosphere(2)})
-    u = v.select("mesh_id", "v", (F.col("x") * F.col("y") + F.col("z")).alias("u"))
-    d = geometry.divergence(v, f, geometry.face_gradient(v, f, u))
-    lu = geometry.laplacian(v, f).join(u.withColumnRenamed("v", "j"), ["mesh_id", "j"]).groupBy("mesh_id", F.col("i").alias("v")).agg(F.sum(F.col("a") * F.col("u")).alias("lu"))
-    return d.join(lu, ["mesh_id", "v"]).agg((F.max(F.abs(F.col("div") - F.col("lu"))) < 1e-9).alias("agree"), F.count("*").alias("n"))
-
-
 def _grid_edges(spark: SparkSession, sf_dir: str, n: int = 12) -> DataFrame:
     """One n x n grid per nation, scaled to unit spacing times the nation's number."""
     p = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("mesh_id"), F.lit(n).alias("nx"), F.lit(n).alias("ny"), (F.col("n_nationkey") + 1.0).alias("scale"))
@@ -254,5 +229,3 @@ def height_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = e.withColumns({"r": F.row_number().over(w.orderBy("z")), "n": F.count("*").over(w)})
     gate = r.where(F.col("r") == F.floor(F.lit(0.75) * (F.col("n") - 1)) + 1).select("label", F.col("z").alias("gate"))
     return e.join(gate, "label").where("z >= gate").groupBy("label").agg(F.count("*").alias("n"))
-
-

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vec import cross, dot, sub, vec
 from tessera.operators import geometry, metrics
 from tessera.operators.fixpoint import greedy_match, suppressed_maxima
-from tessera.operators.kernels import cuts, grids, rays, rewrite, surface, teeth
+from tessera.operators.kernels import cuts, grids, margin, rays, rewrite, surface, teeth
 from tessera.operators.model import per_mesh, tables
 from tessera.operators.topology import edges
 from tessera.sources import meshes as M
@@ -49,12 +49,6 @@ def boundary_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("label", F.round("assd", 6).alias("assd"), F.round("hd95", 6).alias("hd95"))
 
 
-@query("SELECT 0.3::DOUBLE AS assd, 0.3::DOUBLE AS hd95, 0.0::DOUBLE AS f1_025, 1.0::DOUBLE AS f1_050")
-def parallel_lines_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = lambda y: spark.range(21).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.col("id") * 0.1).alias("x"), F.lit(y).alias("y"), F.lit(0.0).alias("z"))
-    return metrics.boundary_metrics(line(0.0), line(0.3), ["g"]).select(*(F.round(c, 9).alias(c) for c in ("assd", "hd95", "f1_025", "f1_050")))
-
-
 @query("SELECT l_returnflag AS g, round(sum(CASE WHEN l_quantity > 25 AND l_discount > 0.05::DOUBLE THEN l_extendedprice ELSE 0 END) / sum(CASE WHEN l_quantity > 25 OR l_discount > 0.05::DOUBLE THEN l_extendedprice ELSE 0 END), 6) AS iou FROM lineitem GROUP BY 1")
 def region_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Price-weighted overlap of two predicates over order lines, as areas of two regions."""
@@ -69,21 +63,6 @@ def nms_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppressed_maxima(p, near, ["g"]).select(F.col("v").cast("int").alias("v"))
 
 
-@query()
-def nms_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings kept by greedy suppression within .5 of a better one of their label."""
-    e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("v"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")), F.col("embedding")[3].cast("double").alias("score"))
-    near = metrics.within(e.withColumnRenamed("v", "i"), e.withColumnRenamed("v", "j"), 0.5, ["label"]).where("i <> j AND d < 0.5").select("label", F.col("i").alias("v"), F.col("j").alias("w"))
-    return suppressed_maxima(e, near, ["label"])
-
-
-@query("SELECT * FROM (VALUES (0, 1), (1, 0), (2, 2)) t(i, j)")
-def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ascending distances claim both ends; later pairs with a used end fall away."""
-    pairs = spark.createDataFrame([(1, 0, 1, 0.1), (1, 0, 0, 0.2), (1, 1, 1, 0.3), (1, 1, 0, 0.4), (1, 2, 0, 0.5), (1, 2, 2, 0.9)], "g int, i int, j int, d double")
-    return greedy_match(pairs, ["g"]).select("i", "j")
-
-
 def _rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One slanted ray per customer towards a supplier's torus; values that avoid edges."""
     s = table(spark, sf_dir, "supplier").count()
@@ -171,33 +150,12 @@ def closest_on_triangle(p: str, a: str, b: str, c: str) -> Column:
     return F.when(inside, F.try_divide(h * h, nn)).otherwise(F.least(segment(x, y), segment(y, z), segment(z, x)))
 
 
-@query("SELECT k, d::DOUBLE AS d FROM (VALUES (0, 1.0), (1, 1.0), (2, 1.414214), (3, 0.0), (4, 0.707107)) t(k, d)")
-def closest_point_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distances to one triangle from above, from an edge, from a corner, inside, and beyond the long side."""
-    p = spark.createDataFrame([(0, 0.25, 0.25, 1.0), (1, 0.5, -1.0, 0.0), (2, -1.0, -1.0, 0.0), (3, 0.2, 0.2, 0.0), (4, 1.0, 1.0, 0.0)], "k int, px double, py double, pz double")
-    t = p.select("*", *(F.lit(float(x)).alias(n + c) for n, xyz in (("a", (0, 0, 0)), ("b", (1, 0, 0)), ("c", (0, 1, 0))) for c, x in zip("xyz", xyz, strict=True)))
-    return t.select("k", F.round(F.sqrt(closest_on_triangle("p", "a", "b", "c")), 6).alias("d"))
-
-
 def _plates() -> M.Mesh:
     """A unit plate, and above its quarter another one: the shadow is a quarter of the lower area."""
     low, up = M.grid(8, 8), M.grid(4, 4)
     return M.append(low, M.Mesh(up.x * (0.5, 0.5, 1) + (0, 0, 0.5), up.f))
 
 
-@query("SELECT mesh_id, expected::DOUBLE AS expected, near FROM (VALUES ('plates', 0.25, true), ('sphere', 0.5, true)) t(mesh_id, expected, near)")
-def undercut_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From above a sphere hides half of itself; a floating plate hides its footprint."""
-
-    def kernel(name: str, m: M.Mesh) -> pd.DataFrame:
-        region = np.arange(len(m.f)) < 128 if name == "plates" else np.ones(len(m.f), bool)
-        f = rays.undercut_fraction(m, rays.undercut_faces(m, rays.Bvh(m), np.array([0, 0, 1.0]), region), region)
-        want = 0.25 if name == "plates" else 0.5
-        return pd.DataFrame({"mesh_id": [name], "expected": [want], "near": [bool(abs(f - want) < (1e-9 if name == "plates" else 0.04))]})
-
-    return per_mesh(*tables(spark, {"plates": _plates(), "sphere": M.icosphere(2)}), kernel, "mesh_id string, expected double, near boolean")
-
-
 @query("SELECT true AS no_worse, true AS clean, true AS within")
 def insertion_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A leaning frustum is undercut along z; the search finds an axis within the tilt that isn't."""
@@ -215,27 +173,6 @@ def insertion_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_mesh(*tables(spark, {"frustum": m}), kernel, "no_worse boolean, clean boolean, within boolean")
 
 
-@query("SELECT 0.8::DOUBLE AS least, 0.8::DOUBLE AS along, true AS median_ge_least")
-def wall_thickness_slab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def kernel(name: str, m: M.Mesh) -> pd.DataFrame:
-        w = rays.wall_thickness(m)
-        ok = ~np.isnan(w[:, 2])
-        return pd.DataFrame({"least": [round(float(np.nanmin(w[:, 0])), 9)], "along": [round(float(w[ok, 2].max()), 9)], "median_ge_least": [bool((w[ok, 1] >= w[ok, 0]).all())]})
-
-    g = M.grid(6, 6)
-    slab = M.append(M.Mesh(g.x * (4, 4, 1) + (0, 0, 0.8), g.f), M.Mesh(g.x * (4, 4, 1), g.f[:, ::-1]))
-    return per_mesh(*tables(spark, {"slab": slab}), kernel, "least double, along double, median_ge_least boolean")
-
-
-@query("SELECT * FROM (VALUES ('grid', 98, 2 * 72 + 2 * 24, 0), ('holes', 98, 2 * 68 + 2 * 32, 0)) t(mesh_id, n_vertices, n_faces, boundary_edges)")
-def naive_offset_shell(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Surface, turned inward copy and side walls: closed, with 2 F + 2 rim faces."""
-    v, f = tables(spark, {"grid": M.grid(6, 6), "holes": M.grid_with_holes(6, 6, [(1, 1), (4, 3)])})
-    out_v, out_f = offset_shell(v, f, 0.1)
-    rim = edges(out_f).groupBy("mesh_id").agg(F.count_if(F.col("kind") == "boundary").cast("int").alias("boundary_edges"))
-    return out_v.groupBy("mesh_id").agg(F.count("*").cast("int").alias("n_vertices")).join(out_f.groupBy("mesh_id").agg(F.count("*").cast("int").alias("n_faces")), "mesh_id").join(rim, "mesh_id")
-
-
 def offset_shell(vertices: DataFrame, faces: DataFrame, wall: float) -> tuple[DataFrame, DataFrame]:
     """Outer surface, inner copy moved against the vertex normals and turned, and a wall on the rim."""
     n = geometry.vertex_normals(faces, vertices)
@@ -342,7 +279,7 @@ def star_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(name: str, m: M.Mesh) -> pd.DataFrame:
         rng, ok, bad = np.random.default_rng(4), True, False
         n = 7
-        parents = np.stack([np.arange(n) - 1, np.where(np.arange(n) < n - 1, np.arange(n) + 1, -1)])
+        parents = np.stack([np.maximum(np.arange(n) - 1, 0), np.minimum(np.arange(n) + 1, n - 1)])
         for _ in range(30):
             u = rng.random((n, 2)) * 4
             start = np.zeros(n, int)
@@ -409,13 +346,13 @@ def margin_synthetic_tooth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each labelling's boundary stays within .3 of the crown's and overlaps it by over .9."""
 
     def kernel(name: str, m: M.Mesh) -> pd.DataFrame:
-        i = teeth.margin_inputs(m, radius=2.0, threshold=0.2, nms=1.5, axis=np.array([0, 0, 1.0]))
+        i = margin.margin_inputs(m, radius=2.0, threshold=0.2, nms=1.5, axis=np.array([0, 0, 1.0]))
         truth = M.tooth_labels(m) > 0
-        mid = lambda l: m.x[teeth.margin_edges(m, l.astype(int))].mean(1)
+        mid = lambda l: m.x[margin.margin_edges(m, l.astype(int))].mean(1)
         rows = []
         for method in ("voronoi", "graph_cut", "per_tooth"):
-            got = teeth.margin_labels(i, teeth.MarginParams(method=method)) > 0
-            rows.append((method, teeth.compare_boundaries(mid(got), mid(truth))["assd"] < 0.3, (got & truth).sum() / (got | truth).sum() > 0.9))
+            got = margin.margin_labels(i, margin.MarginParams(method=method)) > 0
+            rows.append((method, margin.compare_boundaries(mid(got), mid(truth))["assd"] < 0.3, (got & truth).sum() / (got | truth).sum() > 0.9))
         return pd.DataFrame(rows, columns=["method", "close", "overlap"]).astype({"close": bool, "overlap": bool})
 
     return per_mesh(*tables(spark, {"tooth": M.synthetic_tooth(60)}), kernel, "method string, close boolean, overlap boolean")
@@ -435,7 +372,7 @@ def cusp_grouping(spark: SparkSession, sf_dir: str) -> DataFrame:
     def kernel(name: str, m: M.Mesh) -> pd.DataFrame:
         k = teeth.curvatures(m)[2]
         tips = np.array([np.linalg.norm(m.x - (c, 0, 2), axis=1).argmin() for c in (-1.8, 1.8)])
-        group = teeth.group_tips(m, tips, np.isfinite(k), np.nan_to_num(k), -0.5 if name == "apart" else -1e9)
+        group = margin.group_tips(m, tips, np.isfinite(k), np.nan_to_num(k), -0.5 if name == "apart" else -1e9)
         return pd.DataFrame({"mesh_id": [name], "groups": [len(set(group.tolist()))]})
 
     d = domes(1.8)

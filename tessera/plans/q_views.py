@@ -13,7 +13,7 @@ from tessera.functions import color
 from tessera.functions.picks import quantile_index
 from tessera.operators import geometry, topology
 from tessera.operators.fixpoint import components
-from tessera.operators.kernels import rays, surface, teeth
+from tessera.operators.kernels import margin, rays, surface, teeth
 from tessera.operators.model import per_mesh, tables
 from tessera.sources import meshes as M
 from tessera.sources.mesh_io import LABELS, landmarks
@@ -47,11 +47,6 @@ def fdi_category(fdi: Column) -> Column:
     return F.when(fdi == 0, F.lit(None)).when(d <= 2, "incisor").when(d == 3, "canine").when(d <= 5, "premolar").otherwise("molar")
 
 
-@query("SELECT * FROM (VALUES (0, NULL), (11, 'incisor'), (22, 'incisor'), (33, 'canine'), (44, 'premolar'), (25, 'premolar'), (36, 'molar'), (48, 'molar')) t(fdi, category)")
-def fdi_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(x,) for x in (0, 11, 22, 33, 44, 25, 36, 48)], "fdi int").select("fdi", fdi_category(F.col("fdi")).alias("category"))
-
-
 @query("SELECT 36 AS fdi, 2::BIGINT AS cusps, 'ok' AS status UNION ALL SELECT NULL, 0, 'length mismatch' UNION ALL SELECT NULL, 0, 'no labels'")
 def annotated_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scans joined to label and landmark files by stem; a scan without fitting labels says why."""
@@ -88,23 +83,6 @@ def edge_variation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.groupBy("mesh_id").agg(F.round(F.stddev_pop("l") / F.avg("l"), 6).alias("edge_cv"))
 
 
-@query("SELECT 'sphere' AS mesh_id, true AS near_equilateral")
-def least_angles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 10th percentile of the faces' least angles, by index."""
-    c = geometry.corners(*reversed(tables(spark, {"sphere": M.icosphere(2)}))).groupBy("mesh_id", "f").agg(F.min("angle").alias("a"))
-    return quantile_index(c, "a", 0.1, ["mesh_id"], "p10").select("mesh_id", (F.degrees("p10") > 50).alias("near_equilateral"))
-
-
-@query("""SELECT * FROM (VALUES ('cylinder', 40, 60, 1, 2, 0, 0), ('holes', 49, 68, 1, 3, 0, 0), ('mobius', 16, 16, 1, 1, 0, 1), ('plate', 229, 412, 1, 1, 1, 0), ('sphere', 42, 80, 1, 0, 0, 0), ('torus', 72, 144, 1, 0, 1, 0), ('two', 114, 224, 2, 0, 1, 0))
- t(mesh_id, n_vertices, n_faces, components, loops, genus, misoriented)""")
-def scan_quality_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One quality row per mesh: sizes, components, loops, genus, misoriented edges."""
-    v, f = mixed_corpus(spark)
-    c = topology.component_report(v, f).groupBy("mesh_id").agg(*(F.sum(x).cast("int").alias(x) for x in ("n_vertices", "n_faces")), F.count("*").cast("int").alias("components"), F.sum("loops").cast("int").alias("loops"), F.coalesce(F.sum("genus"), F.lit(0)).cast("int").alias("genus"))
-    e = topology.edges(f).groupBy("mesh_id").agg(F.count_if(F.col("kind") == "misoriented").cast("int").alias("misoriented"))
-    return c.join(e, "mesh_id")
-
-
 @query("SELECT 's' || s_suppkey AS mesh_id, (2 * (6 + s_suppkey % 11) * (4 + s_suppkey % 7))::BIGINT AS n_vertices, (4 * (6 + s_suppkey % 11) * (4 + s_suppkey % 7))::BIGINT AS n_faces, 2::BIGINT AS components FROM supplier")
 def disjoint_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each torus beside a copy of itself: ids shifted, two components."""
@@ -117,20 +95,6 @@ def disjoint_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v2.groupBy("mesh_id").agg(F.count("*").alias("n_vertices")).join(f2.groupBy("mesh_id").agg(F.count("*").alias("n_faces")), "mesh_id").join(parts, "mesh_id")
 
 
-@query("SELECT 'tooth' AS mesh_id, 9 AS vertex_features, 6 AS seed_features, true AS finite, true AS shares, 0 AS missed_teeth")
-def margin_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The learned terms' inputs on a synthetic crown, and where its labelling errs."""
-
-    def kernel(name: str, m: M.Mesh) -> pd.DataFrame:
-        i = teeth.margin_inputs(m, radius=2.0, threshold=0.2, nms=1.5, axis=np.array([0, 0, 1.0]))
-        p = teeth.MarginParams()
-        x, s = teeth.vertex_features(i, p), teeth.seed_features(i, np.ones(len(i.tips)))
-        b = teeth.breakdown(m, i.ops.star0, teeth.margin_labels(i, p), M.tooth_labels(m))
-        return pd.DataFrame({"mesh_id": [name], "vertex_features": [x.shape[1]], "seed_features": [s.shape[1]], "finite": [bool(np.isfinite(x).all() and np.isfinite(s).all())], "shares": [bool(((x[:, 0] >= 0) & (x[:, 0] <= 1)).all())], "missed_teeth": [b["missed_teeth"]]})
-
-    return per_mesh(*tables(spark, {"tooth": M.synthetic_tooth(50)}), kernel, "mesh_id string, vertex_features int, seed_features int, finite boolean, shares boolean, missed_teeth int")
-
-
 @query("SELECT * FROM (VALUES ('intrinsic', true, true), ('plain', true, true)) t(mesh_id, angles, areas)")
 def intrinsic_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Areas from lengths tile the brick grid before and after flips; its angles sum to pi per face."""

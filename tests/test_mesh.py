@@ -226,3 +226,38 @@ def test_stream_of_files(spark, tmp_path):
             (inbox / f"{name}.obj").write_text("f 1 2 3\n")
     got = {r["mesh_id"]: (r["error"], r["boundary_edges"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {"a": (None, 8), "b": ("line 1: face index out of range", None)}
+
+
+def test_margin_models_and_priors():
+    from tessera.operators.kernels import cuts, margin
+    from tessera.operators.learn import Logistic
+
+    m = M.synthetic_tooth(30)
+    i = margin.margin_inputs(m, radius=2.0, threshold=0.2, nms=1.5, axis=np.array([0, 0, 1.0]))
+    p = margin.MarginParams
+    model = lambda names, w, bias: Logistic(names, [0.0] * len(names), [1.0] * len(names), w, bias)
+    assert len(margin.seeds(i, p())[1]) == len(i.tips) > 1
+    # half of the tips by a quantile of height, none by a model that says no, none by a veto
+    no = model(margin.SEED_FEATURES, [0.0] * 6, -1.0)
+    assert len(margin.seeds(i, p(seed_model=no))[1]) == 0
+    assert len(margin.seeds(i, p(seed_model=no, seed_threshold=0.2))[1]) == len(i.tips)
+    assert len(margin.seeds(i, p(seed_veto=np.ones(len(m.x), bool)))[1]) == 0
+    gate = np.sort(i.height[i.arch])[int(0.95 * (i.arch.sum() - 1))]
+    assert len(margin.seeds(i, p(tip_q=0.95))[1]) == (i.height[i.tips] >= gate).sum()
+    # the top vertex alone is a height seed at quantile 1
+    assert (margin.seeds(i, p(cusp_seeds=False))[0] == 1).sum() == (i.height == i.height[i.arch].max()).sum()
+    # a model sure of gum leaves the seeds and little else
+    cut = lambda **k: (margin.margin_labels(i, p(method="graph_cut", mu=1.0, **k)) > 0).sum()
+    assert cut(vertex_model=model(margin.VERTEX_FEATURES, [0.0] * 9, -20.0), vertex_weight=50.0) < cut() < cut(vertex_model=model(margin.VERTEX_FEATURES, [0.0] * 9, 20.0), vertex_weight=50.0)
+    # each tip a tooth of its own; with stars every tooth hangs together with its tip
+    for plain in (False, True):
+        labels = margin.margin_labels(i, p(tau=1e9, star=True, star_plain=plain))
+        u, v, _ = i.edges
+        same = labels[u] == labels[v]
+        part = margin.component_labels(len(labels), u[same], v[same])
+        assert all(len(np.unique(part[labels == k])) == 1 for k in range(1, labels.max() + 1))
+    whole, carved = (margin.margin_labels(i, p(tau=1e9, strip_kmin=s)) for s in (-np.inf, np.inf))
+    assert (whole > 0).sum() > (carved > 0).sum() and not ((whole == 0) & (carved > 0)).any()
+    chain = np.stack([np.arange(5), np.array([0, 0, 1, 2, -1])])
+    assert cuts.star_repair(np.array([1, 1, 0, 1, 1]), chain).tolist() == [1, 1, 0, 0, 0]
+    assert not cuts.star_feasible(np.array([1, 0, 1, 0, 0]), chain)
