@@ -6,6 +6,7 @@ import numpy as np
 
 from tessera.llm import suffix_dedup as S
 
+from . import windows
 from .data import awkward, frame, prose
 
 
@@ -76,3 +77,10 @@ def test_prefix_loser_tree_merges_and_knows_prefixes():
         out.append(key)
         last = key
     assert out == sorted(k for x in runs for k in x)
+
+
+def test_window_hashes_find_what_strings_find():
+    rng = random.Random(5)
+    passage = bytes(rng.choices(b"abcd ", k=450))
+    texts = [b"", b"short", passage, passage[:399], b"x" * 900, bytes(rng.choices(b"abcd ", k=300)) + passage[20:] + b"tail", passage[100:] + passage[:100]]
+    assert list(windows.expected(list(range(len(texts))), texts).values()) == brute(texts)
