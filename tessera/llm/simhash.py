@@ -199,7 +199,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     whose SimHashes differ in more than ``max_bits`` of 64 bits are left out (about 10 are expected at
     0.8, and 24 are five standard deviations more), the others are compared as whole sets. A part
     that more than ``bucket_cap`` nodes share links them to the smallest of them only: two that are
-    like each other but not like it are found through the other parts they share.
+    like each other but not like it are found only if they share another, smaller part.
     """
     if similarity < 0.8:
         raise ValueError("parts are numbered for similarities of 0.8 and more")
