@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compact_windows, decontaminate, exact_dedup, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
+from . import compact_windows, decontaminate, exact_dedup, hard_negatives, mixing, packing, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 
 _MODULES = {
     "op1_pack": packing,
@@ -15,6 +15,8 @@ _MODULES = {
     "op8_simhash": simhash,
     "op9_exact_dedup": exact_dedup,
     "op10_suffix_dedup": suffix_dedup,
+    "op11_hard_negatives": hard_negatives,
+    "op12_mixing": mixing,
 }
 
 
