@@ -101,3 +101,26 @@ def paired_t(a: DataFrame, b: DataFrame, key: list[str], value: str, by: list[st
     s = j.groupBy(*by).agg(F.count("*").alias("n"), F.avg("d").alias("mean_diff"), F.avg(F.col("d") * F.col("d")).alias("_m2"), F.count_if(F.col("d") < -1e-9).alias("wins"), F.count_if(F.col("d") > 1e-9).alias("losses"), F.count_if(F.col("d") > 0.1).alias("big_losses"))
     se = F.sqrt(F.try_divide(F.greatest(F.col("_m2") - F.col("mean_diff") * F.col("mean_diff"), F.lit(0.0)), (F.col("n") - 1).cast("double")))
     return s.withColumn("se", se).withColumn("t", F.try_divide("mean_diff", "se")).drop("_m2")
+
+
+def grouping_pairs(items: DataFrame, truth: str, group: str, by: list[str]) -> DataFrame:
+    """How well groups recover what they should, from counts per (truth, group) alone: no pair is ever made.
+
+    by..., items, on_background (truth 0 or null), ungrouped (group null or below 0); of the others
+    the pairs of one truth kept together, of one group merged though their truths differ, of one
+    truth split over groups; truths, and clean ones: all their items in one group that holds no other's.
+    """
+    background, alone = F.coalesce(F.col(truth) == 0, F.lit(True)), F.coalesce(F.col(group) < 0, F.lit(True))
+    cells = items.withColumns({"_off": background, "_un": ~background & alone}).groupBy(*by, "_off", "_un", F.when(~background & ~alone, F.col(truth)).alias("_t"), F.when(~background & ~alone, F.col(group)).alias("_g")).agg(F.count("*").alias("_n"))
+    sums = [F.sum(F.when(c, F.col("_n")).otherwise(0)).alias(n) for n, c in (("items", F.lit(True)), ("on_background", F.col("_off")), ("ungrouped", F.col("_un")))]
+    out = cells.groupBy(*by).agg(*sums)
+    own = cells.where("NOT _off AND NOT _un")
+    total = lambda k, n: own.groupBy(*by, k).agg(F.sum("_n").alias(n))
+    c = own.join(total("_t", "_nt"), [*by, "_t"]).join(total("_g", "_ng"), [*by, "_g"])
+    pairs = lambda n: (n * (n - 1) / 2).cast("bigint")
+    together = F.sum(pairs(F.col("_n")))
+    # summed over its cells, n (total - n) counts each pair of a truth's, or group's, different cells twice
+    other = lambda n: (F.sum(F.col("_n") * (F.col(n) - F.col("_n"))) / 2).cast("bigint")
+    single = F.count_if((F.col("_n") == F.col("_nt")) & (F.col("_n") == F.col("_ng")))
+    found = c.groupBy(*by).agg(together.alias("together"), other("_ng").alias("merged"), other("_nt").alias("split"), F.count_distinct("_t").alias("truths"), single.alias("clean"))
+    return out.join(found, by, "left").fillna(0, ["together", "merged", "split", "truths", "clean"])

@@ -14,8 +14,9 @@ def valid_faces(faces: DataFrame, vertices: DataFrame | None = None) -> DataFram
     ok = faces.where("v0 >= 0 AND v1 >= 0 AND v2 >= 0 AND v0 <> v1 AND v1 <> v2 AND v2 <> v0")
     if vertices is None:
         return ok
-    size = vertices.groupBy("mesh_id").agg(F.max("v").alias("_top"))
-    return ok.join(size, "mesh_id").where("greatest(v0, v1, v2) <= _top").drop("_top")
+    corner = ok.select("mesh_id", "f", F.explode(F.array("v0", "v1", "v2")).alias("v"))
+    lost = corner.join(vertices.select("mesh_id", "v"), ["mesh_id", "v"], "left_anti").select("mesh_id", "f").distinct()
+    return ok.join(lost, ["mesh_id", "f"], "left_anti")
 
 
 def duplicate_faces(faces: DataFrame) -> DataFrame:

@@ -46,3 +46,24 @@ def grids(params: DataFrame) -> tuple[DataFrame, DataFrame]:
         c = c.where(~F.array_contains(F.coalesce("holes", F.array().cast("array<bigint>")), F.col("id")))
     i, j = F.col("id") % nx, F.floor(F.col("id") / nx)
     return vertices, _two(c, *_cells(nx, i, j, False, None, nx + 1), F.col("id"))
+
+
+def damaged(params: DataFrame, vertices: DataFrame, faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tori of ``params`` with the defects that its flags ask for.
+
+    lost: face 0 is missing; repeated: the last face comes twice; flipped: the lower face of cell
+    (3, 2) is turned; flat: vertex (2, 3) lies on (1, 3); stray: a vertex without faces; wild: a face
+    names a vertex that isn't there. They need at least 6 by 4 cells, and don't touch each other.
+    """
+    nu, size = _long("nu"), _long("nu") * _long("nv")
+    flags = params.select("mesh_id", "lost", "repeated", "flipped", "flat", "stray", "wild", nu.alias("_nu"), size.alias("_n"))
+    at = vertices.select("mesh_id", "v", F.struct("x", "y", "z").alias("_p"))
+    twin = flags.where("flat").select("mesh_id", (3 * F.col("_nu") + 1).alias("v")).join(at, ["mesh_id", "v"]).select("mesh_id", (F.col("v") + 1).alias("v"), F.col("_p").alias("_q"))
+    moved = at.join(twin, ["mesh_id", "v"], "left").withColumn("_p", F.coalesce("_q", "_p")).select("mesh_id", "v", "_p.*")
+    stray = flags.where("stray").select("mesh_id", F.col("_n").alias("v"), *(F.lit(9.0).alias(c) for c in "xyz"))
+    f = faces.join(flags, "mesh_id").where("NOT (lost AND f = 0)")
+    turned = F.col("flipped") & (F.col("f") == 2 * (2 * F.col("_nu") + 3))
+    kept = f.select("mesh_id", "f", "v0", F.when(turned, F.col("v2")).otherwise(F.col("v1")).alias("v1"), F.when(turned, F.col("v1")).otherwise(F.col("v2")).alias("v2"))
+    again = f.where(F.col("repeated") & (F.col("f") == 2 * F.col("_n") - 1)).select("mesh_id", (F.col("f") + 1).alias("f"), F.col("v1").alias("v0"), F.col("v2").alias("v1"), F.col("v0").alias("v2"))
+    wild = flags.where("wild").select("mesh_id", (2 * F.col("_n") + 1).alias("f"), F.lit(0).cast("bigint").alias("v0"), F.lit(1).cast("bigint").alias("v1"), (F.col("_n") + 100).alias("v2"))
+    return moved.union(stray), kept.union(again).union(wild)

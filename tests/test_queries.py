@@ -9,15 +9,19 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from compare import canon, oracle
 
+from jobs import queries as jobs
 from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+QUERIES, ORACLES = catalog.queries() | jobs.queries(), catalog.oracle_sql() | jobs.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, name):
-    got = catalog.queries()[name](spark, SF).toPandas()
-    sql = catalog.oracle_sql().get(name)
+    got = QUERIES[name](spark, SF).toPandas()
+    sql = ORACLES.get(name)
     if sql:
         want = oracle(sql, SF)
         assert sorted(got.columns) == sorted(want.columns)
