@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.picks import quantile_index
-from tessera.operators import geometry, metrics, topology
+from tessera.operators import geometry, metrics, topology, voxels
 from tessera.operators.fixpoint import greedy_match, suppressed_maxima
 from tessera.operators.kernels import margin, rays
 from tessera.operators.model import per_mesh
@@ -18,7 +18,7 @@ from tessera.sources import corpora
 from tessera.sources import meshes as M
 
 from .q_geometry import FRAME_SQL
-from .q_spatial import _HALVES, _points, closest_on_triangle, offset_shell
+from .q_spatial import _HALVES, _points, offset_shell
 from .q_topology import TORUS_SQL, torus_corpus
 from .q_views import fdi_category
 from .registry import query, table
@@ -182,7 +182,7 @@ def closest_point_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of the embeddings' first coordinates to one right triangle."""
     p = table(spark, sf_dir, "embeddings").select("vec_id", *(F.col("embedding")[k].cast("double").alias("p" + c) for k, c in enumerate("xyz")))
     t = p.select("*", *(F.lit(float(x)).alias(n + c) for n, xyz in (("a", (0, 0, 0)), ("b", (1, 0, 0)), ("c", (0, 1, 0))) for c, x in zip("xyz", xyz, strict=True)))
-    return t.select("vec_id", F.round(F.sqrt(closest_on_triangle("p", "a", "b", "c")), 6).alias("d"))
+    return t.select("vec_id", F.round(F.sqrt(voxels.closest_on_triangle()["d2"]), 6).alias("d"))
 
 
 @query("""WITH t AS (SELECT s_suppkey, CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE (s_suppkey % 4 + 1) * 10 + s_suppkey % 8 + 1 END AS fdi FROM supplier)

@@ -7,12 +7,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.vec import cross, dot, sub, vec
-from tessera.operators import geometry, metrics
-from tessera.operators.fixpoint import greedy_match, suppressed_maxima
+from tessera.operators import geometry, metrics, voxels
+from tessera.operators.fixpoint import suppressed_maxima
 from tessera.operators.kernels import cuts, grids, margin, rays, rewrite, surface, teeth
 from tessera.operators.model import per_mesh, tables
 from tessera.operators.topology import edges
@@ -70,22 +69,6 @@ def _rays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("ray_id"), F.concat(F.lit("s"), k % s).alias("mesh_id"), ((k % 37) * 0.0713 - 1.3).alias("ox"), ((k % 41) * 0.0637 - 1.29).alias("oy"), F.lit(3.0).alias("oz"), ((k % 7) * 0.011 + 0.013).alias("dx"), ((k % 5) * 0.017 - 0.031).alias("dy"), F.lit(-1.0).alias("dz"))
 
 
-def hits(ray_rows: DataFrame, faces: DataFrame, vertices: DataFrame) -> DataFrame:
-    """All hits (ray_id, mesh_id, f, t) of rays with the triangles of their mesh: the brute-force join."""
-    tri = geometry.face_frames(faces, vertices).select("mesh_id", "f", *(p + c for p in "abc" for c in "xyz"))
-    j = ray_rows.join(tri, "mesh_id")
-    o, d, a = vec("o"), vec("d"), vec("a")
-    e1, e2 = sub(vec("b"), a), sub(vec("c"), a)
-    p = cross(d, e2)
-    det = dot(e1, p)
-    s = sub(o, a)
-    q = cross(s, e1)
-    over = lambda x: F.try_divide(x, det)
-    j = j.withColumns({"det": det, "u": over(dot(s, p)), "w": over(dot(q, d)), "t": over(dot(e2, q))})
-    slack = 1e-10
-    return j.where((F.abs("det") >= 1e-18) & (F.col("u") >= -slack) & (F.col("w") >= -slack) & (F.col("u") + F.col("w") <= 1 + slack) & (F.col("t") > 0)).select("ray_id", "mesh_id", "f", "t")
-
-
 _RAY_SQL = FRAME_SQL + """, ns AS (SELECT count(*) AS s FROM supplier),
 ry AS (SELECT c_custkey AS ray_id, 's' || (c_custkey % s) AS mesh_id, (c_custkey % 37) * 0.0713::DOUBLE - 1.3::DOUBLE AS ox, (c_custkey % 41) * 0.0637::DOUBLE - 1.29::DOUBLE AS oy, 3.0::DOUBLE AS oz,
   (c_custkey % 7) * 0.011::DOUBLE + 0.013::DOUBLE AS dx, (c_custkey % 5) * 0.017::DOUBLE - 0.031::DOUBLE AS dy, -1.0::DOUBLE AS dz FROM customer, ns),
@@ -100,16 +83,42 @@ hit AS (SELECT ray_id, mesh_id, f, (fx * qx + fy * qy + fz * qz) / det AS t FROM
 @query(_RAY_SQL + " SELECT ray_id, arg_min(f, (t, f)) AS f, round(min(t), 6) AS t FROM hit GROUP BY ray_id")
 def ray_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = torus_corpus(spark, sf_dir)
-    h = hits(_rays(spark, sf_dir), f, v)
-    return h.groupBy("ray_id").agg(F.min(F.struct("t", "f")).alias("s")).select("ray_id", "s.f", F.round("s.t", 6).alias("t"))
+    return voxels.nearest_hits(_rays(spark, sf_dir), f, v).select("ray_id", "f", F.round("t", 6).alias("t"))
 
 
 @query(_RAY_SQL + " SELECT ray_id, EXISTS (SELECT 1 FROM hit WHERE hit.ray_id = ry.ray_id) AS occluded FROM ry")
 def ray_occlusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     v, f = torus_corpus(spark, sf_dir)
-    r = _rays(spark, sf_dir)
-    h = hits(r, f, v).select("ray_id").distinct().withColumn("occluded", F.lit(True))
-    return r.select("ray_id").join(h, "ray_id", "left").select("ray_id", F.coalesce("occluded", F.lit(False)).alias("occluded"))
+    return voxels.occluded(_rays(spark, sf_dir), f, v).select("ray_id", "occluded")
+
+
+def _segment(a: str, b: str) -> str:
+    """Squared distance from the origin to the segment of relative corners, as SQL."""
+    ax, ay, az, bx, by, bz = (f'"{k}{c}"' for k in (a, b) for c in "xyz")
+    e = [f"({bx} - {ax})", f"({by} - {ay})", f"({bz} - {az})"]
+    t = f"greatest(0, least(1, -({ax} * {e[0]} + {ay} * {e[1]} + {az} * {e[2]}) / ({e[0]} ** 2 + {e[1]} ** 2 + {e[2]} ** 2)))"
+    return " + ".join(f"({k} + {t} * {d}) ** 2" for k, d in zip((ax, ay, az), e, strict=True))
+
+
+def _side(a: str, b: str) -> str:
+    """Whether the origin is on the inner side of the edge."""
+    ax, ay, az, bx, by, bz = (f'"{k}{c}"' for k in (a, b) for c in "xyz")
+    u, w = [f"({bx} - {ax})", f"({by} - {ay})", f"({bz} - {az})"], [f"(-{ax})", f"(-{ay})", f"(-{az})"]
+    return f"({u[1]} * {w[2]} - {u[2]} * {w[1]}) * nx + ({u[2]} * {w[0]} - {u[0]} * {w[2]}) * ny + ({u[0]} * {w[1]} - {u[1]} * {w[0]}) * nz >= 0"
+
+
+@query(FRAME_SQL + f""", ns AS (SELECT count(*) AS s FROM supplier),
+pt AS (SELECT c_custkey AS point_id, 's' || (c_custkey % s) AS mesh_id, (c_custkey % 37) * 0.1713::DOUBLE - 3.01::DOUBLE AS px, (c_custkey % 41) * 0.0637::DOUBLE - 1.29::DOUBLE AS py, (c_custkey % 11) * 0.37::DOUBLE - 1.777::DOUBLE AS pz FROM customer, ns),
+r AS (SELECT point_id, n.mesh_id, ax - px AS ax, ay - py AS ay, az - pz AS az, bx - px AS bx, "by" - py AS "by", bz - pz AS bz, cx - px AS cx, cy - py AS cy, cz - pz AS cz, nx, ny, nz FROM pt JOIN n USING (mesh_id)),
+m AS (SELECT point_id, mesh_id, CASE WHEN {_side("a", "b")} AND {_side("b", "c")} AND {_side("c", "a")} THEN (ax * nx + ay * ny + az * nz) ** 2 / (nx * nx + ny * ny + nz * nz)
+  ELSE least({_segment("a", "b")}, {_segment("b", "c")}, {_segment("c", "a")}) END AS d2 FROM r)
+SELECT point_id, mesh_id, round(sqrt(min(d2)), 6) AS d FROM m GROUP BY ALL""")
+def closest_on_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One point per customer and its distance from a supplier's torus, by rings of cells."""
+    v, f = torus_corpus(spark, sf_dir)
+    s, k = table(spark, sf_dir, "supplier").count(), F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k.alias("point_id"), F.concat(F.lit("s"), k % s).alias("mesh_id"), ((k % 37) * 0.1713 - 3.01).alias("x"), ((k % 41) * 0.0637 - 1.29).alias("y"), ((k % 11) * 0.37 - 1.777).alias("z"))
+    return voxels.closest_on_mesh(p, f, v).select("point_id", "mesh_id", F.round("d", 6).alias("d"))
 
 
 @query("SELECT * FROM (VALUES ('sphere', 200, true, true), ('torus', 200, true, true)) t(mesh_id, n, rays_equal, closest_equal)")
@@ -130,26 +139,6 @@ def bvh_equals_brute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per_mesh(*tables(spark, {"sphere": M.icosphere(1), "torus": M.torus(12, 6)}), kernel, "mesh_id string, n int, rays_equal boolean, closest_equal boolean")
 
 
-def closest_on_triangle(p: str, a: str, b: str, c: str) -> Column:
-    """Squared distance of a point to a triangle as an expression: the plane inside, else the edges."""
-    q, x, y, z = vec(p), vec(a), vec(b), vec(c)
-    n = cross(sub(y, x), sub(z, x))
-    nn = dot(n, n)
-
-    def side(u, w) -> Column:
-        return dot(cross(sub(w, u), sub(q, u)), n) >= 0
-
-    def segment(u, w) -> Column:
-        e = sub(w, u)
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(dot(sub(q, u), e), dot(e, e)), F.lit(0.0))))
-        r = tuple(qi - (ui + t * ei) for qi, ui, ei in zip(q, u, e, strict=True))
-        return dot(r, r)
-
-    h = dot(sub(q, x), n)
-    inside = side(x, y) & side(y, z) & side(z, x) & (nn > 0)
-    return F.when(inside, F.try_divide(h * h, nn)).otherwise(F.least(segment(x, y), segment(y, z), segment(z, x)))
-
-
 def _plates() -> M.Mesh:
     """A unit plate, and above its quarter another one: the shadow is a quarter of the lower area."""
     low, up = M.grid(8, 8), M.grid(4, 4)
