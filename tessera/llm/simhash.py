@@ -178,89 +178,149 @@ def _majority(h: np.ndarray, start: np.ndarray, most: int = 1 << 16) -> np.ndarr
     return np.packbits(2 * ones > (end - start)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def _part_links(nodes: DataFrame, max_bits: int, bucket_cap: int) -> DataFrame:
-    """Pairs (u, v) of nodes (id, fp, keys) that share a part and whose SimHashes are within ``max_bits``."""
-    keyed = nodes.select("id", "fp", F.explode("keys").alias("key"))
-    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where("n > 1"), "parts")
+#: Members of a crowded part that meet in one cell, on either side.
+CROWD = 512
+
+
+def _part_links(nodes: DataFrame, max_bits: int, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of nodes (sid, fp, m, keys) that share a part and whose SimHashes are within ``max_bits``.
+
+    Of a part that more than ``bucket_cap`` share, only the pairs with its smallest member are among
+    them. Its members (key, n, sid, fp, m) are the second table.
+    """
+    keyed = nodes.select("sid", "fp", "m", F.explode("keys").alias("key"))
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"), "parts")
     tested = maybe_in(keyed, "key", sizes.select("key")).where("_mb_maybe").drop("_mb_maybe")
     shared = materialise(lookup(tested, sizes, "key"), "shared parts")
-    few = shared.where(F.col("n") <= bucket_cap)
-    a, b = few.select("key", F.col("fp").alias("fa"), F.col("id").alias("u")), few.select("key", F.col("fp").alias("fb"), F.col("id").alias("v"))
+    few, crowd = shared.where(F.col("n") <= bucket_cap), shared.where(F.col("n") > bucket_cap)
+    a, b = few.select("key", F.col("fp").alias("fa"), F.col("sid").alias("u")), few.select("key", F.col("fp").alias("fb"), F.col("sid").alias("v"))
     pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & _near(F.col("fa"), F.col("fb"), max_bits)).select("u", "v")
-    led = shared.where((F.col("n") > bucket_cap) & (F.col("id") != F.col("first"))).select(F.col("first").alias("u"), F.col("id").alias("v"))
-    return pairs.union(led).distinct()
+    led = crowd.where(F.col("sid") != F.col("first")).select(F.col("first").alias("u"), F.col("sid").alias("v"))
+    return pairs.union(led).distinct(), crowd.select("key", "n", "sid", "fp", "m")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, max_bits: int = 24, bucket_cap: int = 64) -> DataFrame:
-    """One row per row of ``df``: id, component_id (smallest id reachable by links of ``similarity`` or more).
+def _crowd_pairs(crowd: DataFrame, classes: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """The other pairs of crowded parts: of different classes, sizes that allow the similarity, and close SimHashes.
 
-    Similarity is Jaccard's, of the sets of ``size``-word shingles. It must be 0.8 or more, which the
-    number of parts stands for. Texts of equal sets are one node. Links come from equal parts; pairs
-    whose SimHashes differ in more than ``max_bits`` of 64 bits are left out (about 10 are expected at
-    0.8, and 24 are five standard deviations more), the others are compared as whole sets. A part
-    that more than ``bucket_cap`` nodes share links them to the smallest of them only: two that are
-    like each other but not like it are found only if they share another, smaller part.
+    A part's members are dealt into groups, and each two groups meet in a cell of bounded size.
     """
+    c = lookup(crowd.withColumn("node", F.col("sid")), classes, "node", "left").withColumn("class", F.coalesce("component", "sid"))
+    mixed = c.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
+    c = lookup(c.select("key", "n", "sid", "fp", "m", "class"), mixed, "key")
+    groups = F.ceil(F.col("n") / CROWD)
+    own = F.pmod(F.xxhash64("sid"), groups)
+    c = c.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)))
+    c = c.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "fp", "m", "class")
+    left, right = (c.where(F.col("own") == F.col(k)).select("key", "i", "j", *(F.col(x).alias(x + k) for x in ("sid", "fp", "m", "class"))) for k in "ij")
+    # groups of one cell's two sides differ, but for a group with itself, where each pair counts once
+    once = (F.col("i") != F.col("j")) | (F.col("sidi") < F.col("sidj"))
+    sized = F.least("mi", "mj") >= similarity * F.greatest("mi", "mj")
+    both = left.join(right, ["key", "i", "j"]).where(once & (F.col("classi") != F.col("classj")) & sized & _near(F.col("fpi"), F.col("fpj"), max_bits))
+    return both.select(F.least("sidi", "sidj").alias("u"), F.greatest("sidi", "sidj").alias("v")).distinct()
+
+
+def _row_keys(id_: Column, text: Column) -> list[Column]:
+    """Two hashes that name a row by its id and text."""
+    return [F.xxhash64(id_, F.lit(0), text), F.xxhash64(F.lit(1), text, F.lit(2), id_)]
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, size: int, similarity: float, max_bits: int, bucket_cap: int) -> DataFrame:
+    """One row per row of ``df``: id, h1, h2 (the row's hashes) and best (id, h1, h2), the least row of its class with an id."""
     if similarity < 0.8:
         raise ValueError("parts are numbered for similarities of 0.8 and more")
     docs = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("t"))
+    h1, h2 = _row_keys(F.col("id"), F.col("t"))
+    docs = docs.select("id", h1.alias("h1"), h2.alias("h2"), "t")
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, "t"):
-                total, fp, _, _, at, keys = prints(*bytes_of(b.column(1)), size)
+                total, fp, bounds, _, at, keys = prints(*bytes_of(b.column(3)), size)
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total.view(np.int64)), pa.array(fp.view(np.int64)), lists], names=["id", "sid", "fp", "keys"])
+                columns = [*b.columns[:3], pa.array(total.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.diff(bounds)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "sid", "fp", "m", "keys"])
 
-    rows = materialise(docs.mapInArrow(run, f"id {kind}, sid bigint, fp bigint, keys array<bigint>"), "prints")
-    named = rows.select("id", "sid")
-    owners = materialise(named.groupBy("sid").agg(F.min("id").alias("id")), "nodes")
-    with scope() as kept:
-        # of equal sets only the smallest id's row lists its parts
-        nodes = rows.withColumnRenamed("sid", "of").join(owners.where("id IS NOT NULL").withColumnRenamed("id", "own"), (F.col("of") == F.col("sid")) & (F.col("id") == F.col("own"))).select(F.col("id").cast("bigint").alias("id"), "fp", "keys").dropDuplicates(["id"])
-        pairs = materialise(blocks(_part_links(materialise(nodes, "parts of nodes"), max_bits, bucket_cap).select(F.col("u").alias("a"), F.lit(0).alias("ca"), F.col("v").alias("b"), F.lit(0).alias("cb"))), "pairs")
-        ends = materialise(pairs.select(F.col("a").alias("e")).union(pairs.select("b")).distinct(), "ends")
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for b in slices(batch, "t"):
-                    _, _, at, sh, _, _ = prints(*bytes_of(b.column(1)), size)
-                    each = [np.sort(sh[x:y].astype(np.uint32)).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                    yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.zeros(len(each), np.int32)), pa.array(np.zeros(len(each), np.int32)), pa.array(each, pa.binary())], names=["tid", "cell", "start", "sh"])
-
-        some = maybe_in(docs.withColumn("e", F.xxhash64("id")), "e", ends.select(F.xxhash64(F.col("e").cast(kind)).alias("e"))).where("_mb_maybe").select(F.col("id").cast("bigint").alias("id"), "t")
+    rows = materialise(docs.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, sid bigint, fp bigint, m bigint, keys array<bigint>"), "prints")
+    named = rows.select("id", "h1", "h2", "sid")
+    # of equal sets one row lists its parts, and is read again where the sets are compared
+    least = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "h1", "h2")))
+    owners = materialise(named.groupBy("sid").agg(F.min("h1").alias("low"), least.alias("best")), "nodes")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in slices(batch, "t"):
+                total, _, at, sh, _, _ = prints(*bytes_of(b.column(0)), size)
+                each = [np.sort(sh[x:y].astype(np.uint32)).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), pa.array(np.zeros(len(each), np.int32)), pa.array(np.zeros(len(each), np.int32)), pa.array(each, pa.binary())], names=["tid", "cell", "start", "sh"])
+
+    def alike(a: tuple, others: list[tuple]) -> list[tuple]:
+        out = []
+        for b in others:
+            x, y = (a[3], b[3]) if len(a[3]) < len(b[3]) else (b[3], a[3])
+            if len(x) < similarity * len(y):
+                continue
+            both = int((y[np.minimum(y.searchsorted(x), len(y) - 1)] == x).sum()) if len(y) else 0
+            if both >= similarity * (len(x) + len(y) - both):
+                out.append((a[0], b[0]))
+        return out
+
+    def linked(candidates: DataFrame) -> DataFrame:
+        """Those of the pairs (u, v) whose sets are similar."""
+        pairs = materialise(blocks(candidates.select(F.col("u").alias("a"), F.lit(0).alias("ca"), F.col("v").alias("b"), F.lit(0).alias("cb"))), "pairs")
+        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        lows = materialise(owners.join(ends, "sid").select(F.col("low").alias("h1")), "ends")
+        some = maybe_in(docs, "h1", lows).where("_mb_maybe").select("t")
         cells = some.mapInArrow(sets, "tid bigint, cell int, start int, sh binary").dropDuplicates(["tid"])
+        return materialise(compared(pairs, cells, alike, "u bigint, v bigint"), "links")
 
-        def alike(a: tuple, others: list[tuple]) -> list[tuple]:
-            out = []
-            for b in others:
-                x, y = (a[3], b[3]) if len(a[3]) < len(b[3]) else (b[3], a[3])
-                if len(x) < similarity * len(y):
-                    continue
-                both = int((y[np.minimum(y.searchsorted(x), len(y) - 1)] == x).sum())
-                if both >= similarity * (len(x) + len(y) - both):
-                    out.append((a[0], b[0]))
-            return out
-
-        links = materialise(compared(pairs, cells, alike, "u bigint, v bigint"), "links")
-        comp = components(links)
-        path = materialise(comp, "components")
+    with scope() as kept:
+        own = owners.select(F.col("sid").alias("_sid"), "low")
+        nodes = rows.join(own, (F.col("sid") == F.col("_sid")) & (F.col("h1") == F.col("low"))).select("sid", "fp", "m", "keys").dropDuplicates(["sid"])
+        candidates, crowd = _part_links(materialise(nodes, "parts of nodes"), max_bits, bucket_cap)
+        links = linked(candidates)
+        classes = components(links)
+        more = materialise(_crowd_pairs(crowd, materialise(classes, "classes"), max_bits, similarity), "crowd pairs")
+        if not more.isEmpty():
+            classes = components(links.union(linked(more)))
+        path = materialise(classes, "components")
         kept.append(path)
-    table = owners.join(path, F.col("id").cast("bigint") == F.col("node"), "left").select("sid", F.coalesce(F.col("component").cast(kind), F.col("id")).alias("component_id"))
-    return lookup(named, table, "sid").select(F.col("id").alias(id_col), "component_id")
+    whole = owners.join(path, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("class"), "best")
+    best = whole.groupBy("class").agg(F.min("best").alias("best"))
+    table = lookup(whole.drop("best"), best, "class").select("sid", "best")
+    return lookup(named, table, "sid").select("id", "h1", "h2", "best")
+
+
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, max_bits: int = 24, bucket_cap: int = 64) -> DataFrame:
+    """One row per row of ``df``: id, component_id (smallest id reachable by links of ``similarity`` or more).
+
+    Similarity is Jaccard's, of the sets of ``size``-word shingles. It must be 0.8 or more, which the
+    number of parts stands for. Texts of equal sets are one node. Links come from equal parts; pairs
+    whose SimHashes differ in more than ``max_bits`` of 64 bits are left out (about 10 are expected at
+    0.8, and 24 are five standard deviations more), the others are compared as whole sets. A part
+    that more than ``bucket_cap`` nodes share first links them to one of them, which makes copies one
+    class; then those of different classes are compared too. Ids may be of any type that has an
+    order; rows that share one are rows of their own.
+    """
+    g = _similar(df, id_col, text_col, size, similarity, max_bits, bucket_cap)
+    return g.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``df`` whose id is the smallest of its group, with all their columns (null ids stay).
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, similarity: float = 0.8, bucket_cap: int = 64) -> DataFrame:
+    """The rows of ``df`` that are the least of their group by id, with all their columns (null ids stay).
 
-    Groups are those of :func:`similar_groups`. Rows that surely stay don't shuffle; names starting
-    with ``_sh_`` and ``_mb_`` are reserved.
+    Groups are those of :func:`similar_groups`. Rows go by id and text, told by two 64-bit hashes of
+    both, so a row that shares its id with one that goes stays; rows that repeat id and text go or
+    stay together. Rows that surely stay don't shuffle; names starting with ``_sh_`` and ``_mb_`` are
+    reserved.
     """
-    groups = similar_groups(df, id_col, text_col, size, similarity)
-    gone = materialise(groups.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_sh_drop")).distinct(), "dropped")
-    tested = maybe_in(df.withColumn("_sh_key", F.xxhash64(f"`{id_col}`")), "_sh_key", gone.select(F.xxhash64("_sh_drop").alias("_sh_key")))
-    rest = tested.where("_mb_maybe").join(gone, F.col(f"`{id_col}`") == F.col("_sh_drop"), "left_anti")
+    groups = _similar(df, id_col, text_col, size, similarity, 24, bucket_cap)
+    other = ~F.struct("id", "h1", "h2").eqNullSafe(F.col("best"))
+    gone = materialise(groups.where(F.col("id").isNotNull() & other).select(F.col("h1").alias("_sh_1"), F.col("h2").alias("_sh_2")).distinct(), "dropped")
+    h1, h2 = _row_keys(F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    tested = maybe_in(df.withColumns({"_sh_1": h1, "_sh_h": h2}), "_sh_1", gone.select("_sh_1"))
+    drop = gone.select(F.col("_sh_1").alias("_sh_a"), "_sh_2")
+    rest = tested.where("_mb_maybe").join(drop, (F.col("_sh_1") == F.col("_sh_a")) & (F.col("_sh_h") == F.col("_sh_2")), "left_anti")
     return tested.where(~F.col("_mb_maybe")).union(rest).select(*df.columns)
 
 

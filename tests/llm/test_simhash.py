@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 import xxhash
 from pyspark.sql import functions as F
 
@@ -94,6 +96,38 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
     assert got == near_classes([(i, t) for i, t, *_ in rows])
 
 
+def copies_and_decoys(r, copies, decoys):
+    """Heavily edited texts with small ids around copies of one text with one word in 300 changed."""
+    base = prose(78, 300)
+    rows = [(i, edited(base, r, 0.06)) for i in range(decoys)] + [(1000 + i, edited(base, r, 0.0033)) for i in range(copies)]
+    return [(i, t, "en", "a", 1) for i, t in rows]
+
+
+@pytest.mark.parametrize(("copies", "decoys", "cap"), [(30, 12, 4), (120, 60, 64)])
+def test_crowds_with_decoys_against_all_pairs(spark, monkeypatch, copies, decoys, cap):
+    monkeypatch.setattr(simhash, "CROWD", 16)
+    rows = copies_and_decoys(random.Random(12), copies, decoys)
+    got = {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(frame(spark, rows), bucket_cap=cap).collect()}
+    assert got == near_classes([(i, t) for i, t, *_ in rows])
+    assert len({got[1000 + i] for i in range(copies)}) == 1
+
+
+def test_rows_that_share_an_id_go_by_their_text(spark):
+    r = random.Random(13)
+    base = prose(79, 200)
+    rows = [(1, base), (5, edited(base, r, 0.005)), (5, prose(80, 200)), (None, edited(base, r, 0.005)), (1, edited(base, r, 0.005)), (6, prose(81, 50)), (6, prose(81, 50))]
+    kept = [(x["doc_id"], x["text"]) for x in simhash.near_dedup(frame(spark, [(i, t, "en", "a", 1) for i, t in rows])).collect()]
+    assert sum(i == 1 for i, _ in kept) == 1 and sorted(k for k in kept if k[0] not in (1, None)) == sorted([rows[2], rows[5], rows[6]]) and (None, rows[3][1]) in kept
+
+
+def test_ids_of_any_type(spark):
+    r = random.Random(14)
+    base = prose(82, 200)
+    df = spark.createDataFrame([("b", edited(base, r, 0.005)), ("a x", base), ("c", prose(83, 90)), (None, "")], "doc_id string, text string")
+    assert {x["doc_id"]: x["component_id"] for x in simhash.similar_groups(df).collect()} == {"b": "a x", "a x": "a x", "c": "c", None: None}
+    assert {x["doc_id"] for x in simhash.near_dedup(df).collect()} == {"a x", "c", None}
+
+
 def test_majority_in_pieces():
     import numpy as np
 
