@@ -109,15 +109,22 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return lookup(fps, named, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
+#: The last class of sizes (up to 2**8 - 1 shingles) whose texts are sure to have equal parts.
+SURE_KIND = 8
+
+
 @lru_cache(maxsize=256)
 def part_count(largest: int) -> int:
     """Parts for texts of up to ``largest`` shingles.
 
-    At similarity 0.8 two sets differ in at most (|A| + |B|) / 9 shingles. One part more than that
-    and some part is equal for sure. Long texts get fewer parts: as many as leave ``SURE`` equal parts
-    to be expected, so that all differ with a probability of about exp(-SURE).
+    At similarity 0.8 two sets differ in at most (|A| + |B|) / 9 shingles. With twice as many parts and
+    one more over half of them are equal for sure, so that the most frequent can be passed over. Long
+    texts get fewer parts: as many as leave ``SURE`` equal parts to be expected, so that all differ
+    with a probability of about exp(-SURE).
     """
     differ, n = 2 * largest // 9, 1
+    if largest <= 1 << SURE_KIND:
+        return 2 * differ + 1
     while n <= differ and n * np.exp(-differ / n) < SURE:
         n += max(1, n // 64)
     return int(min(n, differ + 1))
@@ -127,8 +134,8 @@ def prints(raw: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray,
     """For a slice of texts: digest of the shingle set, SimHash, offsets of the sorted distinct shingles, those, offsets of keys, keys.
 
     A key is the SimHash of the shingles of one part of the text's set, with the part's number and
-    the class of sizes that fixes the number of parts. Texts within a quarter of the next class's
-    sizes have keys of that class too.
+    the class of sizes that fixes the number of parts; its last bit is the class's. Texts within a
+    quarter of the next class's sizes have keys of that class too.
     """
     s, e, rows = words(raw, off)
     h = Prefix(word_hashes(LOWER[raw], s, e) | np.uint64(1)) if len(raw) else Prefix(np.zeros(0, np.uint64))
@@ -161,6 +168,7 @@ def prints(raw: np.ndarray, off: np.ndarray, size: int = 5) -> tuple[np.ndarray,
     start = np.flatnonzero(first)
     owner = part[start] >> 40
     keys = mix(_majority(sh[of[order]], start) + mix((part[start] & ((1 << 40) - 1)).astype(np.uint64) * np.uint64(64) + kinds[owner].astype(np.uint64)))
+    keys = keys & ~np.uint64(1) | (kinds[owner] & 1).astype(np.uint64)  # a text has keys of two classes in a row at most
     by_text = np.argsort(texts[owner], kind="stable")
     return total, _majority(sh, bounds[:-1]), bounds, sh, np.searchsorted(texts[owner][by_text], np.arange(len(n) + 1)), keys[by_text]
 
@@ -178,6 +186,24 @@ def _majority(h: np.ndarray, start: np.ndarray, most: int = 1 << 16) -> np.ndarr
     return np.packbits(2 * ones > (end - start)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
 
 
+def _rarest(shared: DataFrame) -> DataFrame:
+    """Of each text's parts (key, n; all, odd: how many it has) those that a similar text must share one of: sid, fp, m, key.
+
+    A text of m shingles and one like it differ in m / 4 shingles at most, and so in as many parts of
+    either. With parts in order of rarity, the first that both have comes after parts that one alone
+    has, m / 4 at most: it is among the first m / 4 + 1 of either. Parts that no other text has come
+    first of all, and count. Where equal parts aren't sure (long texts) all stay.
+    """
+    odd = F.col("key").bitwiseAND(F.lit(1))
+    kind = F.length(F.bin(F.greatest("m", F.lit(1).cast("bigint"))))
+    listed = F.when(odd == 1, F.col("odd")).otherwise(F.col("all") - F.col("odd"))
+    own = Window.partitionBy("sid", "_odd")
+    r = shared.withColumn("_odd", odd).withColumns({"_place": F.row_number().over(own.orderBy("n", "key")), "_shared": F.count("*").over(own)})
+    alone = listed - F.col("_shared")
+    sure = F.when(kind % 2 == odd, kind).otherwise(kind + 1) <= SURE_KIND
+    return r.where(~sure | (F.col("_place") + alone <= F.floor(F.col("m") / 4) + 1)).select("sid", "fp", "m", "key")
+
+
 #: Members of a crowded part that meet in one cell, on either side.
 CROWD = 512
 
@@ -188,10 +214,12 @@ def _part_links(nodes: DataFrame, max_bits: int, bucket_cap: int) -> tuple[DataF
     Of a part that more than ``bucket_cap`` share, only the pairs with its smallest member are among
     them. Its members (key, n, sid, fp, m) are the second table.
     """
-    keyed = nodes.select("sid", "fp", "m", F.explode("keys").alias("key"))
-    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"), "parts")
+    keyed = nodes.select("sid", "fp", "m", F.size("keys").alias("all"), F.size(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1)).alias("odd"), F.explode("keys").alias("key"))
+    sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "parts")
     tested = maybe_in(keyed, "key", sizes.select("key")).where("_mb_maybe").drop("_mb_maybe")
-    shared = materialise(lookup(tested, sizes, "key"), "shared parts")
+    rare = materialise(_rarest(lookup(tested, sizes, "key")), "rarest parts")
+    sizes = materialise(rare.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"), "shared")
+    shared = materialise(lookup(rare, sizes, "key"), "shared parts")
     few, crowd = shared.where(F.col("n") <= bucket_cap), shared.where(F.col("n") > bucket_cap)
     a, b = few.select("key", F.col("fp").alias("fa"), F.col("sid").alias("u")), few.select("key", F.col("fp").alias("fb"), F.col("sid").alias("v"))
     pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & _near(F.col("fa"), F.col("fb"), max_bits)).select("u", "v")
