@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import components, lookup, materialise, maybe_in, scope
 from .pairwise import blocks, compared
-from .textnum import LOWER, Prefix, bytes_of, mix, slices, word_hashes, words
+from .textnum import LOWER, Prefix, bytes_of, give_back, mix, slices, word_hashes, words
 
 SURE = 12
 _TABLE = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -268,6 +268,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, size: int, similarity: f
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(keys.view(np.int64)))
                 columns = [*b.columns[:3], pa.array(total.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(np.diff(bounds)), lists]
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "h1", "h2", "sid", "fp", "m", "keys"])
+            give_back()
 
     rows = materialise(docs.mapInArrow(run, f"id {kind}, h1 bigint, h2 bigint, sid bigint, fp bigint, m bigint, keys array<bigint>"), "prints")
     named = rows.select("id", "h1", "h2", "sid")
@@ -281,6 +282,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, size: int, similarity: f
                 total, _, at, sh, _, _ = prints(*bytes_of(b.column(0)), size)
                 each = [np.sort(sh[x:y].astype(np.uint32)).tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), pa.array(np.zeros(len(each), np.int32)), pa.array(np.zeros(len(each), np.int32)), pa.array(each, pa.binary())], names=["tid", "cell", "start", "sh"])
+            give_back()
 
     def alike(a: tuple, others: list[tuple]) -> list[tuple]:
         out = []

@@ -82,8 +82,7 @@ def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def slices(batch: pa.RecordBatch, text: str, most: int = 256 << 10) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows with about ``most`` bytes of text; long rows stand alone.
 
-    The default keeps the 8-byte arrays made from a slice within a core's cache. After the batch the
-    worker gives the memory it no longer uses back, since it stays for later stages.
+    The default keeps the 8-byte arrays made from a slice within a core's cache.
     """
     column = batch.column(batch.schema.get_field_index(text))
     sizes = np.array(pa.compute.binary_length(column).fill_null(0), dtype=np.int64)
@@ -95,10 +94,10 @@ def slices(batch: pa.RecordBatch, text: str, most: int = 256 << 10) -> Iterator[
         total += n
     if start < len(sizes):
         yield batch.slice(start)
-    _give_back()
 
 
-def _give_back() -> None:
+def give_back() -> None:
+    """Return memory that this worker no longer uses to the system; workers stay for later stages."""
     pa.default_memory_pool().release_unused()
     if (trim := _malloc_trim()) is not None:
         trim(0)
