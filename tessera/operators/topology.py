@@ -173,13 +173,13 @@ def manifold_part(vertices: DataFrame, faces: DataFrame, max_passes: int = 4) ->
 def halfedge_errors(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     """First error of building half-edges, by mesh; meshes without an error have no row.
 
-    Order: per face, an index out of range and then a repeated index; then the least directed edge
+    Order: per face, an index that the mesh lacks and then a repeated index; then the least directed edge
     used twice; then the least vertex with several fans.
     """
-    size = vertices.groupBy("mesh_id").agg(F.max("v").alias("top"))
-    f = faces.join(size, "mesh_id", "left")
-    far = f.where("greatest(v0, v1, v2) > coalesce(top, -1) OR least(v0, v1, v2) < 0").select("mesh_id", F.lit(0).alias("stage"), "f", F.lit(0).alias("sub"), F.concat(F.lit("face "), F.col("f"), F.lit(": vertex index out of range")).alias("error"))
-    flat = f.where("v0 = v1 OR v1 = v2 OR v2 = v0").select("mesh_id", F.lit(0).alias("stage"), "f", F.lit(1).alias("sub"), F.concat(F.lit("face "), F.col("f"), F.lit(": degenerate (repeated vertex)")).alias("error"))
+    corner = faces.select("mesh_id", "f", F.explode(F.array("v0", "v1", "v2")).alias("v"))
+    lost = corner.join(vertices.select("mesh_id", "v"), ["mesh_id", "v"], "left_anti").select("mesh_id", "f").distinct()
+    far = lost.select("mesh_id", F.lit(0).alias("stage"), "f", F.lit(0).alias("sub"), F.concat(F.lit("face "), F.col("f"), F.lit(": vertex index out of range")).alias("error"))
+    flat = faces.where("v0 = v1 OR v1 = v2 OR v2 = v0").select("mesh_id", F.lit(0).alias("stage"), "f", F.lit(1).alias("sub"), F.concat(F.lit("face "), F.col("f"), F.lit(": degenerate (repeated vertex)")).alias("error"))
     ok = valid_faces(faces, vertices)
     he = halfedges(ok)
     w = Window.partitionBy("mesh_id", "origin", "dest").orderBy("h")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.picks import capped_bucket, quantile_index, upper_median
 from tessera.operators import learn, metrics
+from tessera.operators.fixpoint import cut
 
 from .registry import query, table
 
@@ -93,7 +94,8 @@ def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     Ranks within ranges plus the ranges' offsets give the global index without a single-task sort.
     """
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    dealt = c.repartitionByRange(8, "c_name").withColumn("part", F.spark_partition_id())
+    # written once: a second range exchange might choose other bounds, and offsets wouldn't fit ranks
+    dealt = cut(c.repartitionByRange("c_name").withColumn("part", F.spark_partition_id()))
     local = dealt.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("c_name")) - 1)
     sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
     offsets = sizes.withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "start")
