@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.sources.shared import shared_root
+from tessera.sources.shared import new_folder, shared_root
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -20,6 +20,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a new folder of the shared one and read it back.
+
+    Spark estimates a checkpointed table's size as that of the plan behind it, and a join's as the product
+    of its sides', so a state that is joined with itself round after round gets estimates whose digits
+    double each time. A stored table has its files' size. It loses its partitioning, which ``cut`` keeps.
+    """
+    path = new_folder(df.sparkSession, "rounds")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def components(nodes: DataFrame, edges: DataFrame, by: list[str], node: str = "v", a: str = "u", b: str = "v", max_rounds: int = 100) -> DataFrame:
     """Least node of each node's component: by..., node, label. Edges are undirected.
 
