@@ -87,7 +87,10 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 32, max_blocks: int = 8192) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; rows without an equal don't shuffle."""
+    """The rows of ``df`` that stay, with all their columns, whatever their names; rows without an equal don't shuffle."""
+    names = df.columns
+    id_col, text_col = (f"c{names.index(c)}" for c in (id_col, text_col))
+    df = df.toDF(*(f"c{i}" for i in range(len(names))))
     digests = materialise(_digests(df, id_col, text_col), "digests")
     blocks = _blocks(digests.count(), bits_per_row, max_blocks)
     bitmaps = materialise(_repeated_bits(digests, blocks), "bitmaps")
@@ -96,7 +99,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     alone = tested.where(~F.col("_xd_maybe")).select(*df.columns)
     winners = _winners(_tested(digests, bitmaps, blocks).where("_xd_maybe"))
     maybe = lookup(tested.where("_xd_maybe"), winners, "_xd_sha").where(F.col(f"`{id_col}`").eqNullSafe(F.col("_xd_keep")))
-    return alone.union(maybe.dropDuplicates(["_xd_sha"]).select(*df.columns))
+    return alone.union(maybe.dropDuplicates(["_xd_sha"]).select(*df.columns)).toDF(*names)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

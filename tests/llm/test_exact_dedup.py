@@ -40,3 +40,10 @@ def test_empty(spark):
 def test_no_python_in_the_plan(spark):
     plan = exact_dedup.annotate(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_columns_may_have_the_operators_own_names(spark):
+    rows = [(1, "a b", "mine", True, "k", 7), (2, "ab", "other", False, "k", 8), (3, "c", None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _xd_sha string, _xd_maybe boolean, _lookup_key string, c1 int")
+    kept = exact_dedup.exact_dedup(df)
+    assert kept.dtypes == df.dtypes and sorted(map(tuple, kept.collect())) == [rows[0], rows[2]]
