@@ -6,7 +6,9 @@ one round at most. Without ``spark.checkpoint.dir`` (tests) a temporary folder s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import new_folder, shared_root
@@ -59,24 +61,29 @@ def shortest_paths(edges: DataFrame, sources: DataFrame, by: list[str], max_dist
 
     ``edges``: by, u, v, len (undirected, >= 0). ``sources``: by, v and optionally owner. A frontier
     of improved nodes is relaxed each round (Bellman-Ford); ties go to the smaller owner, then parent.
+    A round writes the improved nodes only; every eighth drops the rows that were improved on.
     """
     if "owner" not in sources.columns:
         sources = sources.withColumn("owner", F.col("v"))
     both = cut(edges.select(*by, "u", "v", "len").union(edges.select(*by, F.col("v").alias("u"), F.col("u").alias("v"), "len")))
     known_nodes = both.select(*by, F.col("u").alias("v")).distinct()
     start = sources.join(known_nodes, [*by, "v"], "left_semi").groupBy(*by, "v").agg(F.min("owner").alias("owner"))
-    best = cut(start.select(*by, "v", F.lit(0.0).alias("d"), "owner", F.lit(None).cast("bigint").alias("parent")))
-    frontier = best
-    for _ in range(max_rounds):
+    frontier = cut(start.select(*by, "v", F.lit(0.0).alias("d"), "owner", F.lit(None).cast("bigint").alias("parent")))
+    # all rows that were ever the best of their node; a node's rows improve strictly
+    found, kept = frontier, Window.partitionBy(*by, "v").orderBy("d")
+    for k in range(1, max_rounds + 1):
         reach = both.join(frontier.withColumnRenamed("v", "u").drop("parent"), [*by, "u"]).select(*by, "v", (F.col("d") + F.col("len")).alias("d"), "owner", F.col("u").alias("parent"))
         if max_distance is not None:
             reach = reach.where(F.col("d") <= max_distance)
-        least = reach.groupBy(*by, "v").agg(F.min(F.struct("d", "owner", "parent")).alias("s")).select(*by, "v", F.col("s.d").alias("nd"), F.col("s.owner").alias("no"), F.col("s.parent").alias("np"))
-        better = least.join(best.select(*by, "v", F.col("d").alias("od")), [*by, "v"], "left").where("od IS NULL OR nd < od")
-        frontier = cut(better.select(*by, "v", F.col("nd").alias("d"), F.col("no").alias("owner"), F.col("np").alias("parent")))
+        least = reach.groupBy(*by, "v").agg(F.min(F.struct("d", "owner", "parent")).alias("s")).select(*by, "v", "s.*")
+        known = found.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate([*by, "v"])), F.col("d").alias("_kd"))
+        same = [F.col(c) == F.col(f"_k{i}") for i, c in enumerate([*by, "v"])]
+        frontier = cut(least.join(known, reduce(Column.__and__, [*same, F.col("_kd") <= F.col("d")]), "left_anti"))
         if frontier.isEmpty():
-            return best
-        best = cut(best.join(frontier, [*by, "v"], "left_anti").unionByName(frontier))
+            return found.withColumn("_k", F.row_number().over(kept)).where("_k = 1").drop("_k")
+        found = found.unionByName(frontier)
+        if k % 8 == 0:
+            found = cut(found.withColumn("_k", F.row_number().over(kept)).where("_k = 1").drop("_k"))
     raise RuntimeError("shortest paths did not settle")
 
 
