@@ -49,6 +49,37 @@ def nearest(queries: DataFrame, targets: DataFrame, by: list[str], cell: float,
     raise RuntimeError("nearest search did not settle")
 
 
+def suppressed_within(points: DataFrame, radius: float, by: list[str], dims: str = "xyz", max_rounds: int = 1000) -> DataFrame:
+    """Greedy non-maximum suppression as rounds: by..., v of the points kept, none closer than ``radius`` to a better one kept.
+
+    ``points``: by, v, score, coordinates. Ties of score go to the smaller v; a null score is the least. No pairs of
+    points are made: of each cell of the radius only the best open point counts. One that none of the 26 cells around
+    it beats is kept, and open points meet only those kept in a round, of which a cell has few.
+    """
+    steps = [()]
+    for _ in dims:
+        steps = [(*p, s) for p in steps for s in (-1, 0, 1)]
+    cells = ["_c" + c for c in dims]
+    around = F.explode(F.array(*(F.struct(*((F.col(c) + s).alias(c) for c, s in zip(cells, p, strict=True))) for p in steps))).alias("_n")
+    rank = F.struct(F.col("score").alias("s"), (-F.col("v")).alias("v")).alias("rank")
+    open_ = cut(points.select(*by, "v", *dims, rank, *(F.floor(F.col(c) / radius).alias("_c" + c) for c in dims)))
+    kept = None
+    for _ in range(max_rounds):
+        best = open_.groupBy(*by, *cells).agg(F.max(F.struct("rank", "v", *dims)).alias("b"))
+        best = cut(best.select(*by, *cells, "b.*"))
+        if best.isEmpty():
+            return kept.select(*by, "v") if kept is not None else points.select(*by, "v").limit(0)
+        near = best.select(*by, "rank", around).select(*by, "_n.*", "rank").groupBy(*by, *cells).agg(F.max("rank").alias("top"))
+        new = cut(best.join(near, [*by, *cells]).where(F.col("rank") == F.col("top")).drop("top"))
+        kept = new if kept is None else kept.unionByName(new)
+        by_cell = new.select(*by, *(F.col(c).alias("q" + c) for c in dims), around).select(*by, *("q" + c for c in dims), "_n.*")
+        p = open_.select(*by, "v", *cells, *(F.col(c).alias("p" + c) for c in dims))
+        out = p.join(by_cell, [*by, *cells]).where(distance("p", "q", dims) < radius).select(*by, "v")
+        done = out.union(new.select(*by, "v")).distinct()
+        open_ = cut(open_.join(done, [*by, "v"], "left_anti"))
+    raise RuntimeError("suppression did not settle")
+
+
 def boundary_metrics(predicted: DataFrame, truth: DataFrame, by: list[str], cell: float = 0.5, dims: str = "xyz") -> DataFrame:
     """by..., assd, hd95, f1_025, f1_050 of two point sets (by..., i or j, coordinates)."""
     p = nearest(predicted, truth.withColumnRenamed("i", "j"), by, cell, dims).select(*by, F.lit("p").alias("side"), "d")

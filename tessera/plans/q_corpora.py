@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.picks import quantile_index
 from tessera.operators import geometry, metrics, topology, voxels
-from tessera.operators.fixpoint import greedy_match, suppressed_maxima
+from tessera.operators.fixpoint import greedy_match
 from tessera.operators.kernels import margin, rays
 from tessera.operators.model import per_mesh
 from tessera.sources import corpora
@@ -219,8 +219,7 @@ l AS (SELECT label, arg_max(kept, r) AS kept FROM k GROUP BY label) SELECT label
 def nms_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings kept by greedy suppression within .5 of a better one of their label."""
     e = table(spark, sf_dir, "embeddings").select("label", F.col("vec_id").alias("v"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")), F.col("embedding")[3].cast("double").alias("score"))
-    near = metrics.within(e.withColumnRenamed("v", "i"), e.withColumnRenamed("v", "j"), 0.5, ["label"]).where("i <> j AND d < 0.5").select("label", F.col("i").alias("v"), F.col("j").alias("w"))
-    return suppressed_maxima(e, near, ["label"])
+    return metrics.suppressed_within(e, 0.5, ["label"])
 
 
 @query(_HALVES.replace("WITH e", "WITH RECURSIVE e", 1) + """, p AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY d, i, j) AS r FROM d WHERE d <= 0.5),
