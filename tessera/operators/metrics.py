@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,17 +32,28 @@ def within(left: DataFrame, right: DataFrame, radius: float, by: list[str], dims
     return l.join(r, [*by, *("c" + c for c in dims)]).withColumn("d", distance("p", "q", dims)).where(F.col("d") <= radius).select(*by, "i", "j", "d")
 
 
+def first_radius(points: DataFrame, radius: float, by: list[str], dims: str = "xyz") -> float:
+    """``radius`` halved until what the fullest cell holds, spread evenly, is a point a cell."""
+    cells = points.groupBy(*by, *(F.floor(F.col(c) / radius).alias("c" + c) for c in dims)).count()
+    most = cells.agg(F.max("count")).first()[0] or 0
+    return radius / 2 ** max(0, math.ceil(math.log2(max(most, 1)) / len(dims)))
+
+
 def nearest(queries: DataFrame, targets: DataFrame, by: list[str], cell: float, dims: str = "xyz") -> DataFrame:
     """by..., i, j, d of each query's nearest target; ties to the smaller j; no row without targets.
 
-    A first pass looks within one cell. Queries without a target there look within cells twice as
-    large, and so on while any is left; each pass is the same cell join.
+    A first pass looks within one cell, which is ``cell`` or, where targets are dense, a part of it, so that
+    it holds few. Queries without a target there look within cells twice as large, and so on while any
+    is left; each pass is the same cell join. The queries are entered into the neighbouring cells, since they get fewer.
     """
-    left, radius, found = queries, cell, None
+    left, radius, found = queries, first_radius(targets, cell, by, dims), None
     some = targets.select(*by).distinct()
     left = left.join(some, by, "left_semi") if by else left
+    across = targets.withColumnRenamed("j", "i")
     for _ in range(64):
-        hit = within(left, targets, radius, by, dims).groupBy(*by, "i").agg(F.min(F.struct("d", "j")).alias("s")).select(*by, "i", "s.j", "s.d")
+        pairs = within(across, left.withColumnRenamed("i", "j"), radius, by, dims)
+        hit = pairs.groupBy(*by, F.col("j").alias("q")).agg(F.min(F.struct("d", F.col("i").alias("j"))).alias("s"))
+        hit = cut(hit.select(*by, F.col("q").alias("i"), "s.j", "s.d"))
         found = hit if found is None else found.union(hit)
         left = cut(left.join(hit.select(*by, "i"), [*by, "i"], "left_anti"))
         if left.isEmpty():
