@@ -62,6 +62,24 @@ def nearest(queries: DataFrame, targets: DataFrame, by: list[str], cell: float,
     raise RuntimeError("nearest search did not settle")
 
 
+def matched_within(left: DataFrame, right: DataFrame, radius: float, by: list[str], dims: str = "xyz") -> DataFrame:
+    """Greedy one-to-one matching (by..., i, j, d) of points at most ``radius`` apart by ascending (d, i, j).
+
+    The radius grows by doubling. All pairs within one are matched before any farther pair, as the order of distances asks,
+    and only points still alone are paired within the next, so that the pairs of a dense set are never all made.
+    """
+    r = first_radius(right, radius, by, dims)
+    found = None
+    while True:
+        new = greedy_match(within(left, right, r, by, dims), by)
+        found = new if found is None else found.union(new)
+        if r >= radius:
+            return found
+        left = cut(left.join(new.select(*by, "i"), [*by, "i"], "left_anti"))
+        right = cut(right.join(new.select(*by, "j"), [*by, "j"], "left_anti"))
+        r = min(2 * r, radius)
+
+
 def suppressed_within(points: DataFrame, radius: float, by: list[str], dims: str = "xyz", max_rounds: int = 1000) -> DataFrame:
     """Greedy non-maximum suppression as rounds: by..., v of the points kept, none closer than ``radius`` to a better one kept.
 
@@ -113,7 +131,7 @@ def region_iou(labels: DataFrame, by: list[str]) -> DataFrame:
 
 def match_counts(detections: DataFrame, truths: DataFrame, tolerance: float, by: list[str], dims: str = "xyz") -> DataFrame:
     """by..., tp, fp, fn by greedy one-to-one matching within a tolerance."""
-    tp = greedy_match(within(detections, truths, tolerance, by, dims), by).groupBy(*by).agg(F.count("*").alias("tp"))
+    tp = matched_within(detections, truths, tolerance, by, dims).groupBy(*by).agg(F.count("*").alias("tp"))
     nd, nt = detections.groupBy(*by).agg(F.count("*").alias("nd")), truths.groupBy(*by).agg(F.count("*").alias("nt"))
     r = nd.join(nt, by, "full").join(tp, by, "left").fillna(0, ["nd", "nt", "tp"])
     return r.select(*by, "tp", (F.col("nd") - F.col("tp")).alias("fp"), (F.col("nt") - F.col("tp")).alias("fn"))

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tessera.functions.picks import quantile_index
 from tessera.operators import geometry, metrics, topology, voxels
-from tessera.operators.fixpoint import greedy_match
 from tessera.operators.kernels import margin, rays
 from tessera.operators.model import per_mesh
 from tessera.sources import corpora
@@ -228,5 +227,4 @@ k(label, r, a, b) AS (SELECT DISTINCT label, 0::BIGINT, []::BIGINT[], []::BIGINT
 l AS (SELECT label, arg_max(a, r) AS a, arg_max(b, r) AS b FROM k GROUP BY label) SELECT label, unnest(a) AS i, unnest(b) AS j FROM l""")
 def greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even and odd embeddings of a label matched one to one by ascending distance, up to .5."""
-    pairs = metrics.within(_points(spark, sf_dir, 0, "i"), _points(spark, sf_dir, 1, "j"), 0.5, ["label"])
-    return greedy_match(pairs.select("label", "i", "j", "d"), ["label"]).select("label", "i", "j")
+    return metrics.matched_within(_points(spark, sf_dir, 0, "i"), _points(spark, sf_dir, 1, "j"), 0.5, ["label"]).select("label", "i", "j")

@@ -35,6 +35,22 @@ def pairs_made(monkeypatch):
     return made
 
 
+def test_nearest_and_matching(spark, pairs_made):
+    a, b = _points(1, 300, 0.1), _points(2, 300, 0.1) + [(0, 999, 5.0, 5.0, 5.0, 0.0)]
+    ta, tb = _table(spark, a, "i").cache(), _table(spark, b, "j").cache()
+    got = {(r.g, r.i): (r.j, r.d) for r in metrics.nearest(ta, tb, ["g"], 0.5).collect()}
+    want = {p[:2]: min((_d(p, q), q[1]) for q in b if q[0] == p[0])[::-1] for p in a}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
+    got = {tuple(r) for r in metrics.matched_within(ta, tb, 0.5, ["g"]).select("g", "i", "j").collect()}
+    near, used, want = sorted((_d(p, q), p[1], q[1], p[0]) for p in a for q in b if p[0] == q[0] and _d(p, q) <= 0.5), set(), set()
+    for _, i, j, g in near:
+        if (0, i) not in used and (1, j) not in used:
+            used |= {(0, i), (1, j)}
+            want.add((g, i, j))
+    assert got == want
+    assert max(pairs_made) < len(near) / 4  # all of them would be len(near)
+
+
 def test_suppression(spark, pairs_made):
     p = _points(3, 300, 0.4)
     got = {tuple(r) for r in metrics.suppressed_within(_table(spark, p, "v"), 0.5, ["g"]).collect()}
