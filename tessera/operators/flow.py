@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .fixpoint import cut, stored
+from .fixpoint import cut
 
-#: Levels between two checkpoints of what a search has seen.
+#: Levels between two writes of what a search has seen.
 LEVELS = 16
 
 
@@ -28,7 +28,7 @@ def minimum_cut(terminals: DataFrame, edges: DataFrame, by: list[str], max_phase
     what it holds. What a node can't pass on stays until the next phase finds it farther away. A graph
     leaves the loop when no node with demand is within reach; those within reach are the source's side.
 
-    Levels are checkpointed and phases stored. Rounds grow with the longest shortest path from a source, not
+    Levels and phases are written. Rounds grow with the longest shortest path from a source, not
     with the number of graphs or nodes. Source and sink are columns and so no hubs; the arcs of any other
     node that holds demand are ordered in one task, which streams over them.
     """
@@ -94,9 +94,9 @@ def _settle(state: DataFrame, arcs: DataFrame, by: list[str], top: int) -> tuple
     met = cut(met)
     went = reduce(DataFrame.union, moves) if moves else arcs.select(*by, "u", "v", F.col("r").alias("p")).limit(0)
     swap = went.select(*by, F.explode(F.array(F.struct("u", "v", (-F.col("p")).alias("r")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.col("p").alias("r")))).alias("a"))
-    arcs = stored(arcs.select(*by, "u", "v", "r").union(swap.select(*by, "a.*")).groupBy(*by, "u", "v").agg(F.sum("r").alias("r")))
+    arcs = cut(arcs.select(*by, "u", "v", "r").union(swap.select(*by, "a.*")).groupBy(*by, "u", "v").agg(F.sum("r").alias("r")))
     shift = went.select(*by, F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("p").alias("d")), F.struct("v", (-F.col("p")).alias("d")))).alias("a")).select(*by, "a.*")
     shift = shift.groupBy(*by, "v").agg(F.sum("d").alias("_d"))
     node = state.drop("h").join(shift, [*by, "v"], "left").join(met, [*by, "v"], "left").fillna(0, ["_d", "_met"])
     m = F.col("_met")
-    return stored(node.select(*by, "v", (F.col("supply") - m).alias("supply"), (F.col("demand") + F.col("_d") - m).alias("demand"), (F.col("met") + m).alias("met"))), arcs
+    return cut(node.select(*by, "v", (F.col("supply") - m).alias("supply"), (F.col("demand") + F.col("_d") - m).alias("demand"), (F.col("met") + m).alias("met"))), arcs

@@ -35,3 +35,35 @@ def test_checkpointed_tables_are_broadcast_by_their_rows(spark, monkeypatch):
     few = fixpoint.cut(rows.where("x = 1"))
     assert few.count() == 10 and "Broadcast" in _plan(few.join(few.selectExpr("k", "x AS y"), "k"))
     assert fixpoint.cut(rows.where("x > 50")).isEmpty()
+
+
+def _digits(df):
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length()
+
+
+def test_rounds_keep_size_estimates_small(spark):
+    edges = spark.range(200).selectExpr("'g' AS g", "id AS u", "id + 1 AS v")
+    nodes = spark.range(201).selectExpr("'g' AS g", "id AS n")
+    labels = fixpoint.components(nodes, edges, ["g"], node="n")
+    assert {r["label"] for r in labels.collect()} == {0} and labels.count() == 201
+    assert _digits(labels) < 64
+
+
+def test_hot_labels_are_handed_on_by_broadcast(spark, monkeypatch):
+    graph = spark.range(300).selectExpr("cast(id % 3 AS string) AS g", "id AS u", "(id * 7 + 3) div 5 * 3 + id % 3 AS v").where("v < 300")
+    nodes = spark.range(300).selectExpr("cast(id % 3 AS string) AS g", "id AS n")
+    plain = {tuple(r) for r in fixpoint.components(nodes, graph, ["g"], node="n").collect()}
+    monkeypatch.setattr(fixpoint, "HOT", 4)
+    hot = fixpoint._jumped(nodes.selectExpr("g", "n AS _v", "n % 3 AS _l"), ["g"], 300)
+    assert "BroadcastHashJoin" in _plan(hot) and {(r["_v"], r["_l"]) for r in hot.collect()} == {(v, v % 3) for v in range(300)}
+    assert len(plain) == 300 and {tuple(r) for r in fixpoint.components(nodes, graph, ["g"], node="n").collect()} == plain
+
+
+def test_edges_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch):
+    edges = spark.range(1000).selectExpr("'g' AS g", "id % 50 AS u", "id % 50 + 50 AS v")
+    nodes, dealt = edges.selectExpr("g", "u AS n").distinct(), []
+    made = fixpoint.cut
+    monkeypatch.setattr(fixpoint, "cut", lambda df: dealt.append(df.rdd.getNumPartitions()) or made(df))
+    monkeypatch.setattr(fixpoint, "TASK_ROWS", 100)
+    assert {(r["n"], r["label"]) for r in fixpoint.components(nodes.union(edges.selectExpr("g", "v")).distinct(), edges, ["g"], node="n").collect()} == {(k, k % 50) for k in range(100)}
+    assert dealt[0] == 21
