@@ -204,47 +204,76 @@ def _rarest(shared: DataFrame) -> DataFrame:
     return r.where(~sure | (F.col("_place") + alone <= F.floor(F.col("m") / 4) + 1)).select("sid", "fp", "m", "key")
 
 
-#: Members of a crowded part that meet in one cell, on either side.
+#: Members of a part that meet in one cell, on either side.
 CROWD = 512
+#: Pairs of members that a task looks at together.
+_AT_ONCE = 1 << 20
 
 
 def _part_links(nodes: DataFrame, max_bits: int, bucket_cap: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of nodes (sid, fp, m, keys) that share a part and whose SimHashes are within ``max_bits``.
+    """Pairs (u, v) of nodes (sid, fp, m, keys): each part's least member with its others.
 
-    Of a part that more than ``bucket_cap`` share, only the pairs with its smallest member are among
-    them. Its members (key, n, sid, fp, m) are the second table.
+    Up to ``bucket_cap`` members these are pairs of SimHashes within ``max_bits``, in larger parts all.
+    The second table has the members (key, n, sid, fp, m) of parts that have more pairs.
     """
     keyed = nodes.select("sid", "fp", "m", F.size("keys").alias("all"), F.size(F.filter("keys", lambda k: k.bitwiseAND(F.lit(1)) == 1)).alias("odd"), F.explode("keys").alias("key"))
     sizes = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "parts")
     tested = maybe_in(keyed, "key", sizes.select("key")).where("_mb_maybe").drop("_mb_maybe")
     rare = materialise(_rarest(lookup(tested, sizes, "key")), "rarest parts")
-    sizes = materialise(rare.groupBy("key").agg(F.count("*").alias("n"), F.min("sid").alias("first")).where("n > 1"), "shared")
+    sizes = materialise(rare.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("sid", "fp")).alias("first")).where("n > 1"), "shared")
     shared = materialise(lookup(rare, sizes, "key"), "shared parts")
-    few, crowd = shared.where(F.col("n") <= bucket_cap), shared.where(F.col("n") > bucket_cap)
-    a, b = few.select("key", F.col("fp").alias("fa"), F.col("sid").alias("u")), few.select("key", F.col("fp").alias("fb"), F.col("sid").alias("v"))
-    pairs = a.join(b, "key").where((F.col("u") < F.col("v")) & _near(F.col("fa"), F.col("fb"), max_bits)).select("u", "v")
-    led = crowd.where(F.col("sid") != F.col("first")).select(F.col("first").alias("u"), F.col("sid").alias("v"))
-    return pairs.union(led).distinct(), crowd.select("key", "n", "sid", "fp", "m")
+    close = (F.col("n") > bucket_cap) | _near(F.col("fp"), F.col("first.fp"), max_bits)
+    led = shared.where((F.col("sid") != F.col("first.sid")) & close).select(F.col("first.sid").alias("u"), F.col("sid").alias("v"))
+    return led.distinct(), shared.where("n > 2").select("key", "n", "sid", "fp", "m")
 
 
-def _crowd_pairs(crowd: DataFrame, classes: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """The other pairs of crowded parts: of different classes, sizes that allow the similarity, and close SimHashes.
+def _cells(parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of parts that hold several classes, in cells: cell, sid, fp, m, class, side and alone.
 
-    A part's members are dealt into groups, and each two groups meet in a cell of bounded size.
+    A part's members are dealt into groups, and each two groups meet in a cell of bounded size, one
+    on either side; a group meets itself in a cell alone.
     """
-    c = lookup(crowd.withColumn("node", F.col("sid")), classes, "node", "left").withColumn("class", F.coalesce("component", "sid"))
+    c = lookup(parts.withColumn("node", F.col("sid")), classes, "node", "left").withColumn("class", F.coalesce("component", "sid"))
     mixed = c.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("key")
     c = lookup(c.select("key", "n", "sid", "fp", "m", "class"), mixed, "key")
     groups = F.ceil(F.col("n") / CROWD)
-    own = F.pmod(F.xxhash64("sid"), groups)
-    c = c.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)))
-    c = c.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "sid", "fp", "m", "class")
-    left, right = (c.where(F.col("own") == F.col(k)).select("key", "i", "j", *(F.col(x).alias(x + k) for x in ("sid", "fp", "m", "class"))) for k in "ij")
-    # groups of one cell's two sides differ, but for a group with itself, where each pair counts once
-    once = (F.col("i") != F.col("j")) | (F.col("sidi") < F.col("sidj"))
-    sized = F.least("mi", "mj") >= similarity * F.greatest("mi", "mj")
-    both = left.join(right, ["key", "i", "j"]).where(once & (F.col("classi") != F.col("classj")) & sized & _near(F.col("fpi"), F.col("fpj"), max_bits))
-    return both.select(F.least("sidi", "sidj").alias("u"), F.greatest("sidi", "sidj").alias("v")).distinct()
+    c = c.withColumn("own", F.pmod(F.xxhash64("sid"), groups)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), groups - 1)))
+    cell = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return c.select(cell.alias("cell"), "sid", "fp", "m", "class", (F.col("own") < F.col("other")).alias("side"), (F.col("own") == F.col("other")).alias("alone"))
+
+
+def _by_cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by cell, the first column, in tables of whole cells."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cell = b.column(0).to_numpy()
+        last = int(np.searchsorted(cell, cell[-1]))
+        if held and (last or held[-1].column(0)[-1] != b.column(0)[0]):
+            yield pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks()
+            held = []
+        elif last:
+            yield pa.Table.from_batches([b.slice(0, last)])
+        held.append(b.slice(last))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _meetings(t: pa.Table, max_bits: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j) of the pairs to compare: of one cell, different classes, fit sizes and close SimHashes."""
+    cell, fp, m, own, side, alone = (t.column(c).to_numpy() for c in ("cell", "fp", "m", "class", "side", "alone"))
+    fp = fp.view(np.uint64)
+    n = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
+    before = np.cumsum(n) - n
+    starts = np.unique(np.searchsorted(before, np.arange(0, n.sum() + 1, _AT_ONCE)))
+    for a, z in zip(starts, [*starts[1:], len(cell)], strict=True):
+        i = np.repeat(np.arange(a, z), n[a:z])
+        j = np.arange(len(i)) - np.repeat(before[a:z] - before[a], n[a:z]) + i + 1
+        ok = (alone[i] | (side[i] != side[j])) & (own[i] != own[j])
+        i, j = i[ok], j[ok]
+        ok = (np.minimum(m[i], m[j]) >= similarity * np.maximum(m[i], m[j])) & (np.bitwise_count(fp[i] ^ fp[j]) <= max_bits)
+        yield i[ok], j[ok]
 
 
 def _row_keys(id_: Column, text: Column) -> list[Column]:
@@ -295,25 +324,66 @@ def _similar(df: DataFrame, id_col: str, text_col: str, size: int, similarity: f
                 out.append((a[0], b[0]))
         return out
 
+    def cells_of(sids: DataFrame) -> DataFrame:
+        """The sets of nodes, as cells to compare."""
+        lows = materialise(owners.join(sids.distinct(), "sid").select(F.col("low").alias("h1")), "ends")
+        some = maybe_in(docs, "h1", lows).where("_mb_maybe").select("t")
+        return some.mapInArrow(sets, "tid bigint, cell int, start int, sh binary").dropDuplicates(["tid"])
+
     def linked(candidates: DataFrame) -> DataFrame:
         """Those of the pairs (u, v) whose sets are similar."""
         pairs = materialise(blocks(candidates.select(F.col("u").alias("a"), F.lit(0).alias("ca"), F.col("v").alias("b"), F.lit(0).alias("cb"))), "pairs")
-        ends = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
-        lows = materialise(owners.join(ends, "sid").select(F.col("low").alias("h1")), "ends")
-        some = maybe_in(docs, "h1", lows).where("_mb_maybe").select("t")
-        cells = some.mapInArrow(sets, "tid bigint, cell int, start int, sh binary").dropDuplicates(["tid"])
-        return materialise(compared(pairs, cells, alike, "u bigint, v bigint"), "links")
+        return materialise(compared(pairs, cells_of(pairs.select(F.col("a").alias("sid")).union(pairs.select("b"))), alike, "u bigint, v bigint"), "links")
+
+    def meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_cell(batches):
+            met = np.zeros(t.num_rows, bool)
+            for i, j in _meetings(t, max_bits, similarity):
+                met[i] = met[j] = True
+            yield from t.filter(pa.array(met)).to_batches()
+
+    def joining(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_cell(batches):
+            sid, own = t.column("sid").to_pylist(), t.column("class").to_pylist()
+            held = [(k, None, None, np.frombuffer(sh, np.uint32)) for k, sh in zip(sid, t.column("sh").to_pylist(), strict=True)]
+            root: dict[int, int] = {}  # classes that links of these cells make one
+
+            def find(c: int, root: dict[int, int] = root) -> int:
+                while c in root:
+                    c = root[c]
+                return c
+
+            out = []
+            for i, j in _meetings(t, max_bits, similarity):
+                for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                    p, q = find(own[x]), find(own[y])
+                    if p != q and (link := alike(held[x], [held[y]])):
+                        out += link
+                        root[max(p, q)] = min(p, q)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["u", "v"])
+
+    def crossing(parts: DataFrame, classes: DataFrame) -> DataFrame:
+        """Links (u, v) that make one what similar pairs of different classes join; the pairs stay in their tasks."""
+        cells = _cells(parts, classes)
+        met = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(meeting, cells.schema)
+        met = materialise(met, "meetings")
+        if met.isEmpty():
+            return met.select(F.col("sid").alias("u"), F.col("sid").alias("v"))
+        held = cells_of(met.select("sid")).select(F.col("tid").alias("sid"), "sh")
+        whole = lookup(met, held, "sid").select("cell", "sid", "fp", "m", "class", "side", "alone", "sh")
+        return materialise(whole.repartition("cell").sortWithinPartitions("cell").mapInArrow(joining, "u bigint, v bigint"), "crossing links")
 
     with scope() as kept:
         own = owners.select(F.col("sid").alias("_sid"), "low")
         nodes = rows.join(own, (F.col("sid") == F.col("_sid")) & (F.col("h1") == F.col("low"))).select("sid", "fp", "m", "keys").dropDuplicates(["sid"])
-        candidates, crowd = _part_links(materialise(nodes, "parts of nodes"), max_bits, bucket_cap)
+        candidates, parts = _part_links(materialise(nodes, "parts of nodes"), max_bits, bucket_cap)
         links = linked(candidates)
-        classes = components(links)
-        more = materialise(_crowd_pairs(crowd, materialise(classes, "classes"), max_bits, similarity), "crowd pairs")
+        classes = materialise(components(links), "classes")
+        more = crossing(parts, classes)
+        path = classes
         if not more.isEmpty():
-            classes = components(links.union(linked(more)))
-        path = materialise(classes, "components")
+            path = materialise(components(links.union(more)), "components")
         kept.append(path)
     whole = owners.join(path, F.col("sid") == F.col("node"), "left").select("sid", F.coalesce("component", "sid").alias("class"), "best")
     best = whole.groupBy("class").agg(F.min("best").alias("best"))
@@ -328,9 +398,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     number of parts stands for. Texts of equal sets are one node. Links come from equal parts; pairs
     whose SimHashes differ in more than ``max_bits`` of 64 bits are left out (about 10 are expected at
     0.8, and 24 are five standard deviations more), the others are compared as whole sets. A part
-    that more than ``bucket_cap`` nodes share first links them to one of them, which makes copies one
-    class; then those of different classes are compared too. Ids may be of any type that has an
-    order; rows that share one are rows of their own.
+    first links its nodes to one of them (if more than ``bucket_cap`` share it, at any distance), which
+    makes copies one class; then those of different classes are compared within tasks, and only links
+    that join classes leave them. Ids may be of any type that has an order; rows that share one are
+    rows of their own.
     """
     g = _similar(df, id_col, text_col, size, similarity, max_bits, bucket_cap)
     return g.select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))

@@ -112,6 +112,13 @@ def test_crowds_with_decoys_against_all_pairs(spark, monkeypatch, copies, decoys
     assert len({got[1000 + i] for i in range(copies)}) == 1
 
 
+def test_pairs_of_a_part_grow_as_its_members_do(spark):
+    nodes = spark.createDataFrame([(i, 7, 40, [2, 4, 6]) for i in range(50)], "sid long, fp long, m long, keys array<long>")
+    pairs, parts = simhash._part_links(nodes, 24, 64)
+    assert sorted(tuple(r) for r in pairs.collect()) == [(0, i) for i in range(1, 50)]
+    assert parts.count() == 150
+
+
 def test_rows_that_share_an_id_go_by_their_text(spark):
     r = random.Random(13)
     base = prose(79, 200)
