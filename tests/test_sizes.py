@@ -67,3 +67,9 @@ def test_edges_are_told_apart_in_tasks_of_bounded_rows(spark, monkeypatch):
     monkeypatch.setattr(fixpoint, "TASK_ROWS", 100)
     assert {(r["n"], r["label"]) for r in fixpoint.components(nodes.union(edges.selectExpr("g", "v")).distinct(), edges, ["g"], node="n").collect()} == {(k, k % 50) for k in range(100)}
     assert dealt[0] == 21
+
+
+def test_the_laplacian_reads_its_weights_and_not_the_faces_again(spark):
+    v, f = corpora.tori(_params(spark, 6))
+    plan = _plan(geometry.laplacian(v, f))
+    assert "Join" not in plan and "Generate" not in plan
