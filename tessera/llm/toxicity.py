@@ -1,15 +1,16 @@
 """Toxicity: boosted trees over dense features, with isotonic calibration.
 
-Training uses a bounded sample of labelled rows: at most ``max_per_class`` of either label, those
-with the smallest hash of their id. Trees and calibration weight a sampled row by its label's count
-over its sampled count, so that scores keep to the labels' own balance at every size. Everything
-else reads whole texts of all rows.
+Training uses every labelled row. ``max_per_class`` may bound it to those with the smallest hash of
+their id; trees and calibration then weight a row by its label's count over its used count, so that
+scores keep to the labels' own balance.
 
 The lexicon is learned: words, and word beginnings of 4 to 6 bytes, that occur in far more toxic
-than other documents of the sample. Two halves are made by hash; a half's features use the lexicon
-of the other half, so that the trees don't learn from words their own labels chose. Scoring uses
-the lexicon of both. Counting runs on the executors; the driver gets at most ``max_lexicon``
-entries and one row of features for each sampled row, and fits trees and calibration.
+than other documents. Two halves are made by hash; a half's features use the lexicon of the other
+half, so that the trees don't learn from words their own labels chose. Scoring uses the lexicon of
+both. Toxic documents are counted first; in the others only entries count that are frequent enough
+among the toxic ones to enter a lexicon. The driver gets at most ``max_lexicon`` entries a lexicon.
+Up to ``driver_rows`` rows of features are fitted on the driver; more are fitted where they are, by
+sums of gradients (:func:`boosting.fit_table`), and calibrated from counts by margin.
 
 Features (:data:`FEATURES`): lexicon densities, best window, distinct entries, closeness to
 second-person words, capitals, punctuation, and obfuscation (digits or signs inside words, and
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted, Isotonic
+from .boosting import Boosted, Isotonic, fit_table
 from .common import materialise, scope
 from .textnum import LOWER, Prefix, byte_values, bytes_of, mix, slices, words
 
@@ -44,6 +45,8 @@ SECOND_PERSON = "you your yours yourself u ur du dich dir dein deine ihr euch eu
 MASKS = dict(zip("0134578@$!", "oieastbasi", strict=True))
 WINDOW = 64
 NEAR = 5
+DRIVER_ROWS = 16_000  # labelled rows whose features the driver takes
+BROADCAST_LABELS = 200_000
 
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -147,17 +150,21 @@ def _labelled(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("id").alias("_tx_id"), F.col("y").cast("int").alias("_tx_y")).where("_tx_y in (0, 1) and _tx_id is not null").distinct()
 
 
-def _sample(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_per_class: int) -> DataFrame:
-    """At most ``max_per_class`` labelled rows of either class: id, t, y, half."""
+def _used(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, max_per_class: int | None, folds: int) -> DataFrame:
+    """The labelled rows, or at most ``max_per_class`` of either class: id, t, y, half, fold."""
     h = F.xxhash64(F.col("_tx_id").cast("string"), F.lit(11))
     rows = _labelled(labels)
-    few = [rows.where(F.col("_tx_y") == y).orderBy(h, "_tx_id").limit(max_per_class) for y in (0, 1)]
-    few = few[0].union(few[1])
-    return df.join(F.broadcast(few), F.col(f"`{id_col}`") == F.col("_tx_id")).select(F.col("_tx_id").alias("id"), F.col(f"`{text_col}`").alias("t"), F.col("_tx_y").alias("y"), F.pmod(F.shiftright(h, 7), F.lit(2)).cast("int").alias("half"))
+    if max_per_class is not None:
+        few = [rows.where(F.col("_tx_y") == y).orderBy(h, "_tx_id").limit(max_per_class) for y in (0, 1)]
+        rows = few[0].union(few[1])
+    rows = materialise(rows, "labels")
+    rows = F.broadcast(rows) if rows.count() <= BROADCAST_LABELS else rows.hint("merge")
+    parts = (F.pmod(F.shiftright(h, at), F.lit(n)).cast("int").alias(name) for at, n, name in ((7, 2, "half"), (8, folds, "fold")))
+    return df.join(rows, F.col(f"`{id_col}`") == F.col("_tx_id")).select(F.col("_tx_id").alias("id"), F.col(f"`{text_col}`").alias("t"), F.col("_tx_y").alias("y"), *parts)
 
 
-def _entry_counts(sample: DataFrame) -> DataFrame:
-    """Document frequencies of words and word beginnings: entry, half, y, n."""
+def _entry_counts(sample: DataFrame, only: np.ndarray | None = None) -> DataFrame:
+    """Document frequencies of words and word beginnings, or of those in a sorted array: entry, half, y, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,6 +173,9 @@ def _entry_counts(sample: DataFrame) -> DataFrame:
                 group = np.array(b.column(2)) * 2 + np.array(b.column(3))
                 row_of = np.repeat(np.arange(len(t.count)), t.count)
                 keys, rows = np.concatenate([t.word, *t.prefix]), np.tile(row_of, 4)
+                if only is not None:
+                    known = _known(keys, only)
+                    keys, rows = keys[known], rows[known]
                 order = np.lexsort((rows, keys))
                 keys, rows = keys[order], rows[order]
                 first = np.ones(len(keys), bool)
@@ -178,6 +188,25 @@ def _entry_counts(sample: DataFrame) -> DataFrame:
     return sample.select("id", "t", "y", "half").mapInArrow(run, "entry bigint, y int, half int, n bigint").groupBy("entry", "half", "y").agg(F.sum("n").alias("n"))
 
 
+def _known(keys: np.ndarray, among: np.ndarray) -> np.ndarray:
+    return among[np.minimum(np.searchsorted(among, keys), len(among) - 1)] == keys if len(among) else np.zeros(len(keys), bool)
+
+
+def _least(toxic: int) -> int:
+    """Toxic documents that an entry of a lexicon occurs in at least."""
+    return max(2, round(0.004 * toxic))
+
+
+def _counts(sample: DataFrame, totals: dict) -> DataFrame:
+    """Counts of all entries that may enter a lexicon. They are few: a document has so many, and each is in 1 of 250 toxic documents."""
+    toxic = materialise(_entry_counts(sample.where("y = 1")), "toxic entries")
+    enough = toxic.groupBy("entry").agg(*(F.coalesce(F.sum(F.when(F.col("half") == h, F.col("n"))), F.lit(0)).alias(f"a{h}") for h in (0, 1)))
+    t = [totals.get((1, h), 0) for h in (0, 1)]
+    enough = enough.where((F.col("a0") >= _least(t[0])) | (F.col("a1") >= _least(t[1])) | (F.col("a0") + F.col("a1") >= _least(sum(t)))).select("entry")
+    only = np.sort(enough.toPandas()["entry"].to_numpy(dtype=np.int64).view(np.uint64))
+    return materialise(toxic.join(F.broadcast(enough), "entry").select(toxic.columns).union(_entry_counts(sample.where("y = 0"), only)), "entries")
+
+
 def _lexica(counts: DataFrame, totals: dict, max_lexicon: int, least_odds: float) -> list[tuple[np.ndarray, np.ndarray]]:
     """Lexicon of half 0, of half 1, and of both: sorted entries and their log odds."""
 
@@ -190,7 +219,7 @@ def _lexica(counts: DataFrame, totals: dict, max_lexicon: int, least_odds: float
         a, b = sum(F.col(f"a{h}") for h in halves), sum(F.col(f"b{h}") for h in halves)
         na, nb = (sum(totals.get((y, h), 0) for h in halves) for y in (1, 0))
         odds = F.log((a + 0.5) / (na + 1.0)) - F.log((b + 0.5) / (nb + 1.0))
-        top = per.select("entry", odds.alias("w"), a.alias("a")).where((F.col("a") >= max(2, round(0.004 * na))) & (F.col("w") >= least_odds))
+        top = per.select("entry", odds.alias("w"), a.alias("a")).where((F.col("a") >= _least(na)) & (F.col("w") >= least_odds))
         got = top.orderBy(F.desc(F.col("w") * F.sqrt("a")), "entry").limit(max_lexicon).select("entry", "w").toPandas()
         k = got["entry"].to_numpy(dtype=np.int64).view(np.uint64)
         order = np.argsort(k)
@@ -212,38 +241,51 @@ class Model:
         return np.clip(0.999 * self.calibration(m) + 0.001 / (1 + np.exp(-m)), 0.0, 1.0)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = 8000, max_lexicon: int = 4096, least_odds: float = 2.0, folds: int = 3) -> Model:
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_per_class: int | None = None, max_lexicon: int = 4096, least_odds: float = 2.0, folds: int = 3, driver_rows: int = DRIVER_ROWS) -> Model:
     """``labels``: columns id and y (0 or 1); others and nulls are left out."""
     with scope():
-        sample = materialise(_sample(df, labels, id_col, text_col, max_per_class), "labelled")
+        sample = materialise(_used(df, labels, id_col, text_col, max_per_class, folds), "labelled")
         totals = {(r["y"], r["half"]): r["n"] for r in sample.groupBy("y", "half").agg(F.count("*").alias("n")).collect()}
         n1, n0 = (sum(n for (y, _), n in totals.items() if y == k) for k in (1, 0))
-        share = {r["_tx_y"]: max(1.0, r["n"] / max_per_class) for r in _labelled(labels).groupBy("_tx_y").agg(F.count("*").alias("n")).collect()}
-        w1, w0 = share.get(1, 1.0), share.get(0, 1.0)
+        w1 = w0 = 1.0
+        if max_per_class is not None:
+            share = {r["_tx_y"]: max(1.0, r["n"] / max_per_class) for r in _labelled(labels).groupBy("_tx_y").agg(F.count("*").alias("n")).collect()}
+            w1, w0 = share.get(1, 1.0), share.get(0, 1.0)
         rate = (w1 * n1 + 1) / (w1 * n1 + w0 * n0 + 2)
         empty = (np.zeros(0, np.uint64), np.zeros(0))
         if not n1 or not n0:
             return Model(empty, None, None, rate)
-        lexica = _lexica(materialise(_entry_counts(sample), "entries"), totals, max_lexicon, least_odds)
+        lexica = _lexica(_counts(sample, totals), totals, max_lexicon, least_odds)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for b in slices(batch, "t"):
                     t, half = Text(*bytes_of(b.column(1))), np.array(b.column(3))
                     x = np.where(half[:, None] == 0, features(t, lexica[1]), features(t, lexica[0]))
-                    yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(2), b.column(4), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "fold", "x"])
 
-        rows = sample.mapInArrow(run, "id string, y int, x array<double>").toPandas().sort_values("id", kind="stable")
+        rows = sample.mapInArrow(run, "id string, y int, fold int, x array<double>")
+        if n1 + n0 > driver_rows:
+            trees, margins = fit_table(materialise(rows.drop("id"), "features"), len(FEATURES), folds, (w0, w1))
+            return Model(lexica[2], trees, calibrated(margins, (w0, w1)), rate)
+        rows = rows.toPandas().sort_values("id", kind="stable")
         x, y = np.stack(rows["x"].to_numpy()), rows["y"].to_numpy(dtype=np.float64)
         weight = np.where(y == 1, w1, w0)
         weight /= weight.mean()
-        fold = np.array([int(mix(np.array([i], np.uint64))[0] % np.uint64(folds)) for i in range(len(y))])
+        fold = rows["fold"].to_numpy()
         margin = np.zeros(len(y))
         for k in range(folds):
             margin[fold == k] = Boosted().fit(x[fold != k], y[fold != k], weight[fold != k]).margin(x[fold == k])
         return Model(lexica[2], Boosted().fit(x, y, weight), Isotonic().fit(margin, y, weight), rate)
 
 
+def calibrated(margins: DataFrame, class_weight: tuple[float, float], step: float = 2.0**-10) -> Isotonic:
+    """Isotonic calibration of all rows (y, margin), which are added up by steps of the margin first."""
+    w = F.when(F.col("y") == 1, class_weight[1]).otherwise(class_weight[0])
+    got = margins.groupBy(F.floor(F.col("margin") / step).alias("at")).agg(F.avg("margin").alias("m"), F.sum(w).alias("w"), F.sum(w * F.col("y")).alias("p"), F.count("*").alias("n")).orderBy("at").toPandas()
+    return Isotonic().fit(got["m"].to_numpy(), (got["p"] / got["w"]).to_numpy(), (got["w"] * got["n"].sum() / got["w"].sum()).to_numpy())
+
+
 def scores(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score of every row, from its whole text alone."""
 

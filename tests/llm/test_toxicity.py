@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import toxicity
-from tessera.llm.boosting import Boosted, Isotonic
+from tessera.llm.boosting import Boosted, Isotonic, fit_table
 
 from .data import awkward, frame, prose
 
@@ -69,3 +69,26 @@ def test_a_capped_sample_keeps_the_labels_balance(spark):
     model = toxicity.fit(frame(spark, rows), labels, max_per_class=40)  # texts tell nothing of their labels
     got = [r["score"] for r in toxicity.scores(frame(spark, rows), model).collect()]
     assert 0.08 < np.mean(got) < 0.3
+
+
+def test_trees_of_a_table_are_those_of_its_rows(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 40, (900, 4)).astype(float)
+    y, fold = ((x[:, 0] > 20) ^ (x[:, 1] > 30)).astype(int), np.arange(900) % 3
+    rows = spark.createDataFrame([(int(k), int(v), r.tolist()) for k, v, r in zip(fold, y, x, strict=True)], "fold int, y int, x array<double>")
+    trees, margins = fit_table(rows.repartition(3), 4, 3, (1.0, 1.0), Boosted(trees=12))
+    assert np.allclose(trees.margin(x), Boosted(trees=12).fit(x, y.astype(float)).margin(x))
+    assert margins.count() == 900 and ((trees.margin(x) > 0) == (y == 1)).mean() > 0.95
+    own = Boosted(trees=12).fit(x[fold != 1], y[fold != 1].astype(float)).margin(x[fold == 1])
+    assert np.allclose(sorted(r["margin"] for r in margins.where("fold = 1").collect()), sorted(own), atol=0.05)
+
+
+def test_every_labelled_row_counts(spark, monkeypatch):
+    """No row is left out of a fit on the executors, which tells the classes apart."""
+    rows, labels = corpus(120)
+    monkeypatch.setattr(toxicity, "fit_table", lambda rows, d, folds, w: (seen.append(rows.count()), fit_table(rows, d, folds, w, Boosted(trees=6)))[1])
+    seen = []
+    model = toxicity.fit(frame(spark, rows), spark.createDataFrame(labels, "id long, y int"), driver_rows=10)
+    assert seen == [120]
+    got = {r["id"]: r["score"] for r in toxicity.scores(frame(spark, rows), model).collect()}
+    assert min(got[i] for i, y in labels if y) > max(got[i] for i, y in labels if not y)
