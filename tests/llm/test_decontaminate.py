@@ -79,3 +79,38 @@ def test_longest_common_subsequence():
             for j in range(len(b)):
                 t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
         assert D.lcs(D._masks(a), len(a), b) == t[-1, -1]
+
+
+def test_the_fit_counts_every_passage(spark):
+    import pyarrow as pa
+
+    items, rows, _ = planted()
+    bits, rank, half = 10, 8, 24
+    finder = D.fit(docs_of(frame(spark, rows, extra=False)), items, bits=bits, rank=rank, rounds=12)
+    terms_of = D.Terms(bits)
+    keys, first = D.word_keys(*bytes_of(pa.array([r[1] for r in rows])))
+    df = np.zeros(1 << bits)
+    for a, z in zip(first[:-1], first[1:], strict=True):
+        df[np.unique(terms_of(keys[a:z]))] += 1
+    idf = np.log((len(rows) + 1) / (df + 1)) + 1e-3
+
+    def passages(terms):
+        for a in range(0, len(terms), half):
+            x = np.bincount(terms[a : a + 2 * half], minlength=1 << bits) * idf
+            yield x / np.sqrt((idf[terms[a : a + 2 * half]] ** 2).sum())
+
+    texts = np.array([p for a, z in zip(first[:-1], first[1:], strict=True) for p in passages(terms_of(keys[a:z]))])
+    own = np.array([p for it in finder.items for p in passages(terms_of(np.array(it.keys, np.uint64)))])
+    m = texts.T @ texts + own.T @ own * max(1.0, len(texts) / len(own))
+    v, _ = np.linalg.qr(finder.projection / idf[:, None])
+    assert np.trace(v.T @ m @ v) > 0.98 * np.linalg.eigvalsh(m)[-rank:].sum()
+
+
+def test_rows_are_scattered_to_their_terms():
+    r = np.random.default_rng(3)
+    for n, terms in ((0, 5), (1, 5), (3000, 4), (3000, 900)):
+        t, row, y = r.integers(0, terms, n), r.integers(0, 50, n), r.standard_normal((50, 6)).astype(np.float32)
+        got, want = np.zeros((terms, 6), np.float32), np.zeros((terms, 6))
+        D._scatter(got, t, row, y)
+        np.add.at(want, t, y[row])
+        assert np.allclose(got, want, atol=1e-3)
