@@ -31,10 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     multiply each time, until they fill the driver. A stored table has its files' size. Its rows are counted
     on the way, since files of few bytes may hold many rows, which must not go through the driver in a broadcast.
     """
-    return _counted(df)[0]
+    return counted(df)[0]
 
 
-def _counted(df: DataFrame) -> tuple[DataFrame, int]:
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut`, and the number of rows."""
     spark: SparkSession = df.sparkSession
     path, rows = new_folder(spark, "rounds"), Observation()
     df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
@@ -54,10 +55,10 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str], node: str = "v
     n nodes takes O(log n) rounds. A label that more than :data:`HOT` nodes hold is broadcast with its own
     label, so that a large component isn't looked up in one task.
     """
-    pairs, n = _counted(edges.select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")))
+    pairs, n = counted(edges.select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")))
     both = pairs.union(pairs.select(*by, F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     both = cut(_dealt(both, 2 * n, *by, "_a", "_b").distinct())
-    labels, m = _counted(nodes.select(*by, F.col(node).alias("_v")).distinct().withColumn("_l", F.col("_v")))
+    labels, m = counted(nodes.select(*by, F.col(node).alias("_v")).distinct().withColumn("_l", F.col("_v")))
     for _ in range(max_rounds):
         near = _dealt(both, 2 * n, *by, "_b").join(labels.withColumnRenamed("_v", "_b"), [*by, "_b"]).groupBy(*by, "_a").agg(F.min("_l").alias("_m"))
         step = _dealt(labels, m, *by, "_v").join(near.withColumnRenamed("_a", "_v"), [*by, "_v"], "left").select(*by, "_v", F.least("_l", F.coalesce("_m", "_l")).alias("_l"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vec import add, angle, cot, cross, dot, named, norm, scale, sub, vec
 
-from .fixpoint import BROADCAST_ROWS, _counted
+from .fixpoint import BROADCAST_ROWS, counted
 from .model import face_positions
 from .topology import edges
 
@@ -116,7 +116,7 @@ def laplacian(vertices: DataFrame, faces: DataFrame) -> DataFrame:
 
     The weights are written once; the parts of L read them, and not each the faces anew.
     """
-    w, n = _counted(star1(vertices, faces))
+    w, n = counted(star1(vertices, faces))
     both = w.select("mesh_id", F.col("u").alias("i"), F.col("v").alias("j"), F.col("w").alias("a")).union(w.select("mesh_id", F.col("v").alias("i"), F.col("u").alias("j"), F.col("w").alias("a")))
     out = both.union(both.groupBy("mesh_id", "i").agg((-F.sum("a")).alias("a")).select("mesh_id", "i", F.col("i").alias("j"), "a"))
     return out.hint("merge") if n > BROADCAST_ROWS else out

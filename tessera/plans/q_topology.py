@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.picks import first_appearance
 from tessera.operators import topology
-from tessera.operators.fixpoint import components, cycle_positions
+from tessera.operators.fixpoint import components, cut, cycle_positions
 from tessera.operators.kernels.rewrite import handle_loops
 from tessera.operators.model import halfedges, per_mesh, tables
 from tessera.operators.weld import weld_eps, weld_exact
@@ -166,9 +166,8 @@ def weld_soup_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def weld_epsilon_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as points (hour, user, value), one soup per event type, welded greedily within 0.5."""
     e = table(spark, sf_dir, "events").select(F.col("event_type").alias("mesh_id"), "event_id", (F.hour("ts") / 1.0).alias("x"), (F.col("user_id") % 7 / 1.0).alias("y"), F.coalesce("value", F.lit(0.0)).alias("z"))
-    v = first_appearance(e, ["event_id", "x", "y", "z"], "event_id", ["mesh_id"], "v")
-    n = v.groupBy("mesh_id").agg(F.floor(F.count("*") / 3).alias("n")).where("n > 0")
-    f = n.select("mesh_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("f")).select("mesh_id", "f", *((F.col("f") * 3 + k).alias(f"v{k}") for k in range(3)))
+    v = cut(first_appearance(e, ["event_id", "x", "y", "z"], "event_id", ["mesh_id"], "v"))
+    f = v.select("mesh_id", F.floor(F.col("v") / 3).alias("f")).groupBy("mesh_id", "f").count().where("count = 3").select("mesh_id", "f", *((F.col("f") * 3 + k).alias(f"v{k}") for k in range(3)))
     return weld_eps(v.select("mesh_id", "v", "x", "y", "z"), f, 0.5)
 
 
