@@ -6,13 +6,16 @@ one round at most. Without ``spark.checkpoint.dir`` (tests) a temporary folder s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.sources.shared import new_folder
 
+from .kernels.contract import least_nodes
 
 #: Tables of more rows that a round has written aren't broadcast.
 BROADCAST_ROWS = 100_000
@@ -49,16 +52,66 @@ def _dealt(df: DataFrame, rows: int, *columns: str) -> DataFrame:
 
 
 def components(nodes: DataFrame, edges: DataFrame, by: list[str], node: str = "v", a: str = "u", b: str = "v", max_rounds: int = 100) -> DataFrame:
-    """Least node of each node's component: by..., node, label. Edges are undirected.
+    """Least node of each node's component: by..., node, label. Edges are undirected, their ends are nodes.
+
+    Edges are dealt by graph (those of a graph of more than :data:`TASK_ROWS` edges by their hash too), and each task
+    contracts what it holds. A node that several tasks gave different labels links these, and only such links
+    go through rounds: none, where every graph fits a task.
+    """
+    pairs, n = counted(edges.select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")).na.drop())
+    labels = _contracted(pairs, n, by)
+    if n > TASK_ROWS:
+        labels = _linked(cut(labels), by, max_rounds)
+    own = nodes.select(*by, F.col(node).alias("_v")).na.drop().distinct()
+    return cut(own.join(labels.select(*by, "_v", "_l"), [*by, "_v"], "left").select(*by, F.col("_v").alias(node), F.coalesce("_l", "_v").alias("label")))
+
+
+def _linked(stars: DataFrame, by: list[str], max_rounds: int) -> DataFrame:
+    """One label (by, _v, _l) a node from those that tasks gave it."""
+    labels = cut(stars.groupBy(*by, "_v").agg(F.min("_l").alias("_l"), F.max("_l").alias("_h")))
+    links = stars.withColumnRenamed("_l", "_b").join(labels.where("_l <> _h").withColumnRenamed("_l", "_a"), [*by, "_v"]).where("_a <> _b")
+    links, m = counted(links.select(*by, "_a", "_b").distinct())
+    if m:
+        ends = links.select(*by, F.col("_a").alias("_v")).union(links.select(*by, F.col("_b").alias("_v")))
+        joined = _rounds(ends, links, m, by, max_rounds).select(*by, F.col("_v").alias("_l"), F.col("_l").alias("_r"))
+        labels = labels.join(joined, [*by, "_l"], "left").select(*by, "_v", F.coalesce("_r", "_l").alias("_l"))
+    return labels
+
+
+def _contracted(pairs: DataFrame, n: int, by: list[str]) -> DataFrame:
+    """by..., _v, _l: the least node of each node's component among the edges (by..., _a, _b) that came together in a task."""
+    kinds = dict(pairs.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows >= TASK_ROWS:
+                yield least_nodes(held, by)
+                held, rows = [], 0
+        if rows:
+            yield least_nodes(held, by)
+
+    if n > TASK_ROWS:
+        large = pairs.groupBy(*by).agg(F.count("*").alias("_n")).where(F.col("_n") > TASK_ROWS)
+        salt = F.when(F.col("_n").isNull(), 0).otherwise(F.pmod(F.xxhash64("_a", "_b"), F.ceil(F.col("_n") / TASK_ROWS)))
+        pairs = _dealt(pairs.join(F.broadcast(large), by, "left").withColumn("_s", salt).drop("_n"), 2 * n, *by, "_s").drop("_s")
+    else:
+        pairs = pairs.repartition(10 * n // TASK_ROWS + 1, *by)
+    return pairs.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in by), f"_v {kinds['_a']}", f"_l {kinds['_a']}"]))
+
+
+def _rounds(nodes: DataFrame, pairs: DataFrame, n: int, by: list[str], max_rounds: int) -> DataFrame:
+    """Labels (by, _v, _l) of the graphs of ``n`` edges (by, _a, _b).
 
     Rounds take the least label among neighbours and then jump to the label's label, so a path of
     n nodes takes O(log n) rounds. A label that more than :data:`HOT` nodes hold is broadcast with its own
     label, so that a large component isn't looked up in one task.
     """
-    pairs, n = counted(edges.select(*by, F.col(a).alias("_a"), F.col(b).alias("_b")))
     both = pairs.union(pairs.select(*by, F.col("_b").alias("_a"), F.col("_a").alias("_b")))
     both = cut(_dealt(both, 2 * n, *by, "_a", "_b").distinct())
-    labels, m = counted(nodes.select(*by, F.col(node).alias("_v")).distinct().withColumn("_l", F.col("_v")))
+    labels, m = counted(nodes.distinct().withColumn("_l", F.col("_v")))
     for _ in range(max_rounds):
         near = _dealt(both, 2 * n, *by, "_b").join(labels.withColumnRenamed("_v", "_b"), [*by, "_b"]).groupBy(*by, "_a").agg(F.min("_l").alias("_m"))
         step = _dealt(labels, m, *by, "_v").join(near.withColumnRenamed("_a", "_v"), [*by, "_v"], "left").select(*by, "_v", F.least("_l", F.coalesce("_m", "_l")).alias("_l"))
@@ -66,7 +119,7 @@ def components(nodes: DataFrame, edges: DataFrame, by: list[str], node: str = "v
         moved = now.join(labels.withColumnRenamed("_l", "_o"), [*by, "_v"]).where("_l <> _o").limit(1).count()
         labels = now
         if not moved:
-            return labels.select(*by, F.col("_v").alias(node), F.col("_l").alias("label"))
+            return labels
     raise RuntimeError("components did not settle")
 
 

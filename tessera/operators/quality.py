@@ -22,7 +22,7 @@ def scan_rows(vertices: DataFrame, faces: DataFrame) -> DataFrame:
     ok = cut(topology.valid_faces(faces, vertices))
     twice = cut(topology.duplicate_faces(ok))
     good = cut(ok.join(twice, ["mesh_id", "f"], "left_anti"))
-    parts = topology.component_report(vertices, faces)
+    parts = cut(topology.component_report(vertices, faces))
     first = Window.partitionBy("mesh_id").orderBy(F.desc("n_vertices"), "component")
     largest = parts.withColumn("_r", F.row_number().over(first)).where("_r = 1").select("mesh_id", *(F.col(a).alias(f"largest_{b}") for a, b in (("n_vertices", "vertices"), ("chi", "chi"), ("loops", "loops"), ("genus", "genus"), ("manifold", "manifold"))))
 
